@@ -47,6 +47,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of at most so many rows may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str] | Column, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``big`` joined with ``small``, which is written first and counted (unless ``rows`` says how many it has).
+
+    Up to SMALL_ROWS rows it is broadcast, so that ``big`` stays where it is; beyond that both sides are shuffled.
+    """
+    if rows is None:
+        small = cut_lineage(small)
+        rows = small.count()
+    return big.join(F.broadcast(small) if rows <= SMALL_ROWS else small, on, how)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64; a bijection of 64-bit integers."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -89,33 +104,35 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 #: Bytes that belong to a word: letters, digits, and every byte of a character beyond ASCII.
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, np.uint64)
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_INVERSES = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS))
-        with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _MULTIPLIER, np.uint64)]).cumprod(dtype=np.uint64)
-            _INVERSES = np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _INVERSE, np.uint64)]).cumprod(dtype=np.uint64)
-    return _POWERS[:n], _INVERSES[:n]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: sum of (byte + 1) * m^i over the span, moved to begin at power 0, then mixed with its length."""
-    up, down = _powers(len(data) + 1)
+_LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    if lane not in _POWERS or len(_POWERS[lane][0]) < n:
+        m = _LANES[lane]
+        both = []
+        for x in (m, pow(m, -1, 1 << 64)):
+            steps = np.full(max(n, SLICE_BYTES + 1), x, np.uint64)
+            steps[0] = 1
+            with np.errstate(over="ignore"):
+                both.append(steps.cumprod(dtype=np.uint64))
+        _POWERS[lane] = (both[0], both[1])
+    up, down = _POWERS[lane]
+    return up[:n], down[:n]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: its bytes' keys times powers of an odd number, summed by differences of one running sum, mixed with the length. Lanes 0 and 1 are independent."""
+    up, down = _powers(len(data) + 1, lane)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_KEYS[data] * up[: len(data)], out=sums[1:])
+        np.cumsum(_BYTE_KEYS[lane][data] * up[: len(data)], out=sums[1:])
         return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
 with np.errstate(over="ignore"):
-    _BYTE_KEYS = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+    _BYTE_KEYS = [mix64(np.arange(1, 257, dtype=np.uint64) * U64(x)) for x in _LANES]
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, hash_unit, need
+from .common import cut_lineage, hash_unit, join_small, need
 
 #: Target weights of sources; a source that is not named has weight 1, one of weight 0 gets no rows.
 WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
@@ -73,7 +73,7 @@ def mix(df: DataFrame, weights: dict[str, int] | None = None, total: int | None
 
 def _ranked(docs: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     """``docs`` with sure copies, the rest as a share of all_size, the Pareto rank q of the rest, and the bucket of q."""
-    t = docs.join(plan, "source").withColumn("sure", F.expr("(rows * size) div all_size")).withColumn("rest", F.expr("(rows * size) % all_size"))
+    t = join_small(docs, plan, ["source"]).withColumn("sure", F.expr("(rows * size) div all_size")).withColumn("rest", F.expr("(rows * size) % all_size"))
     u, p = F.col("u"), F.col("rest") / F.col("all_size")
     t = t.withColumn("u", hash_unit(F.col("key").cast("string"), seed))
     return t.withColumn("q", F.when(F.col("rest") > 0, (u / (1 - u)) * ((1 - p) / p))).withColumn("bucket", F.when(F.col("rest") > 0, F.expr(_BUCKET)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, need
+from .common import cut_lineage, fresh, join_small, need
 
 #: Width of a bucket, per mille.
 WIDTH = 2
@@ -29,9 +29,9 @@ RULES = {"symbols": 4, "capitals": 20, "repeats": 20}
 def metrics(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """``df`` with a column ``prefix`` + rule for each rule; null where the text is null or blank."""
     t, w = F.col(text), prefix + "words"
-    some = F.length(F.trim(F.regexp_replace(t, "\\s+", " "))) > 0
     chars = F.length(t) + PRIOR_CHARS
-    df = df.withColumn(w, F.when(some, F.split(t, "\\s+")))
+    # The explode of one element keeps the optimiser from splitting the text again for every use of its words.
+    df = df.withColumn(w, F.explode(F.array(F.when(t.rlike("\\S"), F.split(t, "\\s+")))))
     shares = {
         "symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
         "capitals": F.length(F.regexp_replace(t, UPPER, "")),
@@ -77,14 +77,15 @@ def keep_quality(df: DataFrame, lang: str = "lang", source: str = "source", text
     long texts are measured whole. An empty table gives an empty one. Other columns pass through, whatever their names.
     """
     need(df, lang, source, text)
-    limits = thresholds(sketches(df, lang, source, text)).groupBy("lang", "source").pivot("rule", list(RULES)).agg(F.max("threshold"))
+    limits = thresholds(cut_lineage(sketches(df, lang, source, text))).groupBy("lang", "source").pivot("rule", list(RULES)).agg(F.max("threshold"))
     p = fresh(df, "_q_")
     while any(c.lower().startswith(p.lower()) for c in df.columns):
         p += "_"
     lk, sk = p + "lang", p + "source"
     limits = limits.select(F.col("lang").alias(lk), F.col("source").alias(sk), *[F.col(r).alias(f"{p}max_{r}") for r in RULES])
     measured = metrics(df, text, p).withColumn(lk, F.coalesce(lang, F.lit(""))).withColumn(sk, F.coalesce(source, F.lit("")))
-    kept = measured.where(F.col(p + "symbols").isNotNull()).join(limits, [lk, sk])
+    measured = measured.where(F.col(p + "symbols").isNotNull())
+    kept = join_small(measured, limits, [lk, sk])
     for r in RULES:
         kept = kept.where(F.col(p + r) <= F.col(f"{p}max_{r}"))
     return kept.select(*[kept[c] for c in df.columns])
@@ -94,7 +95,7 @@ _M = f"""m AS (
   SELECT *, CASE WHEN has_text THEN (1000 * (length(text) - length(translate(text, '{SYMBOLS}', '')))) // (length(text) + {PRIOR_CHARS}) END AS symbols,
     CASE WHEN has_text THEN (1000 * length(regexp_replace(text, '{UPPER}', '', 'g'))) // (length(text) + {PRIOR_CHARS}) END AS capitals,
     CASE WHEN has_text THEN (1000 * len(list_filter(list_zip(w[:-2], w[2:]), lambda x: x[1] = x[2]))) // (len(w) + {PRIOR_WORDS}) END AS repeats
-  FROM (SELECT *, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 0 AS has_text, string_split_regex(text, '\\s+') AS w, coalesce(lang, '') AS kl, coalesce(source, '') AS ks FROM documents)
+  FROM (SELECT *, regexp_matches(text, '\\S') AS has_text, string_split_regex(text, '\\s+') AS w, coalesce(lang, '') AS kl, coalesce(source, '') AS ks FROM documents)
 )"""
 _H = "h AS (" + " UNION ALL ".join(f"SELECT kl, ks, '{r}' AS rule, {s} AS least, {r} // {WIDTH} AS bucket, count(*) AS n FROM m WHERE {r} IS NOT NULL GROUP BY ALL" for r, s in RULES.items()) + ")"
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import fresh, need
+from .common import fresh, join_small, need
 
 BITS, DIMS = 5, 4
 SHARD_CHARS = 128 << 20
@@ -76,13 +76,13 @@ def shards(df: DataFrame, shard_chars: int = SHARD_CHARS, key: str = "doc_id", l
     place = f"coalesce(int(((key - lo) * {1 << BITS}) div (hi - lo + 1)), 0)"
     t = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("key"), F.col(lang).alias("l"), F.col(source).alias("s"), F.coalesce(F.length(text), F.lit(0)).alias("chars"))
     lc, sc = _codes(df, lang, "lk", "x0"), _codes(df, source, "sk", "x1")
-    t = t.join(lc, F.col("l").eqNullSafe(F.col("lk"))).join(sc, F.col("s").eqNullSafe(F.col("sk"))).crossJoin(span)
+    t = join_small(join_small(t, lc, F.col("l").eqNullSafe(F.col("lk"))), sc, F.col("s").eqNullSafe(F.col("sk"))).crossJoin(F.broadcast(span))  # span is one row
     t = t.selectExpr("row", "key", "chars", "x0", "x1", f"least(length(bin(chars)), {(1 << BITS) - 1}) AS x2", f"{place} AS x3")
     # Python sees each cell once; there are at most 2^20, however many documents.
     cells = t.groupBy(*_X).agg(F.sum("chars").alias("all")).withColumn("h", _hilbert(*_X)).withColumn("start", F.sum("all").over(Window.partitionBy(F.lit(0)).orderBy("h")) - F.col("all"))
     order = Window.partitionBy("h").orderBy(F.col("key").asc_nulls_first(), F.col("row")[text].asc_nulls_first())
     within = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("chars")
-    t = t.join(cells.select(*_X, "h", "start"), _X).withColumn("b", (F.col("start") + within).cast("long"))
+    t = join_small(t, cells.select(*_X, "h", "start"), _X).withColumn("b", (F.col("start") + within).cast("long"))
     return t.select("row.*", F.col("h").alias(names[0]), F.expr(f"b div {shard_chars}").alias(names[1]), F.col("b").alias(names[2]))
 
 
