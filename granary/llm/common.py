@@ -30,20 +30,25 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that lost executors cost nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; it is set for checkpoints too.
 
-    The folder is the one in spark.checkpoint.dir; one of the test machine is used only where that is unset
-    and Spark runs in a single process.
+    One of the test machine is used only where that is unset and Spark runs in a single process.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="granary-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there, so that lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

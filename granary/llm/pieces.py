@@ -95,33 +95,32 @@ class Model:
                 node = node.setdefault(c, {})
             node[-1] = i
         size = 1 << 16
-        base, check, value = [0] * size, [-1] * size, [-1] * size
-        check[0], low, wide = 0, 1, 1
+        base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        check[0] = 0
+        # Where nodes of so many children were last placed: below it, gaps are seldom wide enough.
+        hints: dict[int, int] = {}
         queue = [(0, root)]
         for state, node in queue:
             codes = sorted(c + 1 for c in node if c >= 0)
             value[state] = node.get(-1, -1)
             if not codes:
                 continue
-            while check[low] >= 0:
-                low += 1
-            # One child goes to the first gap; several are looked for from where gaps were last wide enough.
-            b = max((low if len(codes) == 1 else wide) - codes[0], 0)
-            tried = b
+            b, window = hints.get(len(codes), 0), 256
             while True:
-                if b + 257 >= len(check):
-                    for array, fill in ((base, 0), (check, -1), (value, -1)):
-                        array.extend([fill] * len(array))
-                if b >= 0 and all(check[b + c] < 0 for c in codes):
+                while b + window + 257 >= len(check):
+                    base, check, value = (np.concatenate([x, np.full(len(x), fill, np.int32)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
+                free = np.ones(window, bool)
+                for c in codes:
+                    free &= check[b + c : b + c + window] < 0
+                if free.any():
+                    b += int(free.argmax())
                     break
-                b += 1
-            if b - tried > 50:
-                wide = max(wide, b)
+                b += window
+            hints[len(codes)] = b
             base[state] = b
-            for c in codes:
-                check[b + c] = state
+            check[b + np.array(codes)] = state
             queue.extend((b + c, node[c - 1]) for c in codes)
-        self.base, self.check, self.value = np.array(base, np.int32), np.array(check, np.int32), np.array(value, np.int32)
+        self.base, self.check, self.value = base, check, value
         self.longest = max(map(len, own), default=1)
 
     @cached_property
