@@ -1 +1,73 @@
-STAGES = []
+"""From raw documents to token ids: quality rules, near-dedup, secrets, mixing, SentencePiece.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the docs of
+the next one. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from granary.llm import mixing, pieces, quality, secrets, simhash
+from granary.llm.common import shared_folder
+from granary.sources.tables import read_table, ship_package
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break no quality rule."""
+    ship_package(spark)
+    return quality.keep_quality(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near and exact copies."""
+    ship_package(spark)
+    return simhash.drop_near_copies(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without live credentials."""
+    ship_package(spark)
+    return secrets.redact_secrets(docs)
+
+
+def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by source in the target weights, some of them more than once."""
+    ship_package(spark)
+    return mixing.mix(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, decoded) of every document."""
+    ship_package(spark)
+    model = pieces.load()
+    return pieces.decode(pieces.encode(docs, model), model)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", keep_good),
+    ("SimHash near-dedup", drop_copies),
+    ("secret scans", redact),
+    ("mixing", blend),
+    ("SentencePiece", tokenize),
+]
+
+#: The signatures of the near-dedup can't be written in SQL; tests/llm compares the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Every stage but the last is written to a new folder in the shared checkpoint folder."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{folder}/{k}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
