@@ -16,7 +16,7 @@ from granary.functions import ids, parse
 from granary.functions.text import STOP, sentences
 from granary.operators import canonical, derived, diagnostics, graph, ingest, recall, traverse, vectors
 from granary.sources.tables import read_table as table
-from granary.sources.tables import shared_folder
+from granary.sources.tables import shared_folder, written
 
 c = F.col
 
@@ -53,7 +53,7 @@ def synthetic_graph(spark: SparkSession, d: str, config: Config = Config(match_t
     """(nodes, edges) of the conversations as memories, read by the rule parser; entities by equal form."""
     m = memories(spark, d).select("memory_index", "memory_id", "turn_id", c("text").alias("content"), F.concat(F.lit("2026-01-01T00:00:00+00:"), F.lpad((c("turn") % 60).cast("string"), 2, "0")).alias("timestamp"), c("role").alias("speaker"), F.concat(F.lit("conversation "), _text("conv_id")).alias("source"), F.array(F.struct(F.lit("turn").alias("k"), _text("turn").alias("v"))).alias("metadata"))
     n, e = ingest.ingest(ingest.parse_memories(m, config), config)
-    return graph.upsert_nodes(n, list(ingest.PAYLOADS)), graph.upsert_edges(e)
+    return written(graph.upsert_nodes(n, list(ingest.PAYLOADS))), written(graph.upsert_edges(e))
 
 
 def ingest_coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from granary.config import INGEST_FIELDS, Config, audit
 from granary.functions import ids, parse, text
 from granary.operators import canonical, derived, diagnostics, graph, ingest, recall, traverse, vectors
 from granary.sources import seeds, store
+from granary.sources.tables import written
 
 
 def one(spark, column):
@@ -170,7 +171,7 @@ def test_config(spark):
 
 def _graph(spark, df, config, known=None, start=0):
     m = ingest.number_memories(df, F.lit(0), ["seq"], start)
-    return ingest.ingest(ingest.parse_memories(m, config), config, known)
+    return tuple(map(written, ingest.ingest(ingest.parse_memories(m, config), config, known)))
 
 
 def test_ingest_store_and_recall(spark, tmp_path):
@@ -178,7 +179,7 @@ def test_ingest_store_and_recall(spark, tmp_path):
     rows = [(0, "Alice likes green tea. Alice met Bob.", "2026-01-01T10:00:00Z", "alice"), (1, "I visited Paris.", "2026-01-01T11:00:00Z", "bob"), (2, "Alice likes green tea.", None, None), (3, None, "", "")]
     df = spark.createDataFrame([(*r, "s", [("k", "v")]) for r in rows], "seq int, content string, timestamp string, speaker string, source string, metadata array<struct<k:string,v:string>>")
     n, e = _graph(spark, df, config)
-    nodes, edges = graph.upsert_nodes(n, list(ingest.PAYLOADS)).cache(), graph.upsert_edges(e).cache()
+    nodes, edges = written(graph.upsert_nodes(n, list(ingest.PAYLOADS))), written(graph.upsert_edges(e))
     assert graph.missing_endpoints(edges, nodes).count() == 0
     counts = {(x.part, x.name): x["count"] for x in diagnostics.coverage(nodes, edges).collect()}
     assert counts["label", "memory"] == counts["label", "turn"] == 4 and counts["label", "time_anchor"] == 2
@@ -186,13 +187,13 @@ def test_ingest_store_and_recall(spark, tmp_path):
     # Two batches give the graph of one.
     first, second = df.where("seq < 2"), df.where("seq >= 2")
     n1, e1 = _graph(spark, first, config)
-    old = graph.upsert_nodes(n1, list(ingest.PAYLOADS))
+    old = written(graph.upsert_nodes(n1, list(ingest.PAYLOADS)))
     n2, e2 = _graph(spark, second, config, store.known_forms(old), 2)
     both = graph.upsert_nodes(n1.unionByName(n2), list(ingest.PAYLOADS))
     assert both.exceptAll(nodes).count() == nodes.exceptAll(both).count() == 0
     both = graph.upsert_edges(e1.unionByName(e2))
     assert both.exceptAll(edges).count() == edges.exceptAll(both).count() == 0
-    index = derived.rebuild(nodes, edges)
+    index = {k: written(v) for k, v in derived.rebuild(nodes, edges).items()}
     assert {x["count"] for x in index["reinforcement"].where("kind = 'claim'").collect()} == {1, 2}
     store.save(str(tmp_path / "g"), nodes, edges, config, ingest.embed_granules(nodes), index)
     got = store.load(spark, str(tmp_path / "g"), config)
