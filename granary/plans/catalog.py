@@ -70,7 +70,7 @@ def ingest_derived(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recalled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every turn of the conversations as a query; the graph is written first, as every step reads it again."""
+    """Every turn of the conversations as a query, its intent by the nearest centroid; the graph is written first, as every step reads it again."""
     from uuid import uuid4
 
     from granary.sources import store
@@ -86,7 +86,7 @@ def _recalled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     turns = g["nodes"].where("turn IS NOT NULL").select(c("id").alias("query_id"), "turn.text", F.lit(None).cast("string").alias("hint"))
     queries = turns.join(granules.select(c("node_id").alias("query_id"), "vec"), "query_id")
     said = g["edges"].where("type = 'mentions'").join(g["nodes"].select(c("id").alias("dst"), c("entity.entity_type").alias("kind")), "dst").select(c("src").alias("query_id"), c("surface_form").alias("surface"), "kind")
-    return recall.recall(queries, g["nodes"], g["edges"], granules, derived.rebuild(g["nodes"], g["edges"]), said, config)
+    return recall.recall(queries, g["nodes"], g["edges"], granules, derived.rebuild(g["nodes"], g["edges"]), said, config, written(recall.intent_centroids(spark, dimension=config.dimension)))
 
 
 def recall_passages(spark: SparkSession, d: str) -> DataFrame:
