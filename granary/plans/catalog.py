@@ -49,8 +49,8 @@ def token_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("segment_id", "text").agg(F.count("*").alias("n"))
 
 
-def synthetic_graph(spark: SparkSession, d: str, config: Config = Config(match_threshold=None)) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the conversations as memories, read by the rule parser; entities by equal form."""
+def synthetic_graph(spark: SparkSession, d: str, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the conversations as memories, read by the rule parser; entities by equal or similar form, as the settings say."""
     m = memories(spark, d).select("memory_index", "memory_id", "turn_id", c("text").alias("content"), F.concat(F.lit("2026-01-01T00:00:00+00:"), F.lpad((c("turn") % 60).cast("string"), 2, "0")).alias("timestamp"), c("role").alias("speaker"), F.concat(F.lit("conversation "), _text("conv_id")).alias("source"), F.array(F.struct(F.lit("turn").alias("k"), _text("turn").alias("v"))).alias("metadata"))
     n, e = ingest.ingest(ingest.parse_memories(m, config), config)
     return written(graph.upsert_nodes(n, list(ingest.PAYLOADS))), written(graph.upsert_edges(e))
@@ -75,7 +75,7 @@ def _recalled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
     from granary.sources import store
 
-    config = Config(match_threshold=None)
+    config = Config()
     n, e = synthetic_graph(spark, d, config)
     path = f"{shared_folder(spark)}/graph-{uuid4().hex}"
     store.save(path, n, e, config)
