@@ -15,7 +15,7 @@ from .common import fresh, need
 
 #: A value that at least this many owners hold is an example.
 EXAMPLE_OWNERS = 4
-#: (kind, pattern of the whole candidate); the patterns mean the same to Java and RE2.
+#: The forms that the SQL knows; these patterns mean the same to Java and RE2. The operators use FORMS.
 KINDS = {
     "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]*",
     "access_key": "AKIA[0-9A-Z]{16}",
@@ -28,21 +28,35 @@ PATTERN = "(" + "|".join(KINDS.values()) + ")"
 #: What comes before the value in an assignment.
 LEAD = "^[A-Za-z_]+[\"']?\\s*[=:]\\s*[\"']?"
 MASK = "[SECRET]"
+_BEGIN, _END = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", "-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: (kind, pattern of the whole candidate) in Java's syntax. Repeated groups are possessive: these take no stack, however long a text is.
+FORMS = KINDS | {
+    # To the END line, whatever is between; where there is none, as far as lines of a key go.
+    "private_key": _BEGIN + "(?:[^-]*+(?:-{1,4}+[^-]++)*+" + _END + "|(?:[A-Za-z0-9+/=\\s]|\\\\[nr]|(?<![A-Za-z])(?:Proc-Type|DEK-Info):[^\\r\\n\\\\]*+)*+)",
+}
+FORM = "(" + "|".join(FORMS.values()) + ")"
 
 
 def candidates(text: Column) -> Column:
     """All candidates in a text, in order, with repeats; null for null."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(FORM), F.lit(1))
 
 
 def _value(c: str = "candidate") -> Column:
     return F.when(F.col(c).rlike("^(AKIA|gh[pousr]_|xox|eyJ|-----)"), F.col(c)).otherwise(F.regexp_replace(c, LEAD, ""))
 
 
+def _hash(value: str = "value") -> Column:
+    """SHA-256 of a value; of a private key that of its body without line breaks, so that one key has one hash however it is written."""
+    v = F.col(value)
+    body = F.regexp_replace(F.regexp_replace(v, f"^{_BEGIN}|{_END}$", ""), "\\\\[nr]|\\s", "")
+    return F.sha2(F.when(v.startswith("-----BEGIN") & (body != ""), body).otherwise(v), 256)
+
+
 def _kind(c: str = "candidate") -> Column:
     k = F.lit("assigned")
-    for name in reversed([n for n in KINDS if n != "assigned"]):
-        k = F.when(F.col(c).rlike("^" + KINDS[name]), F.lit(name)).otherwise(k)
+    for name in reversed([n for n in FORMS if n != "assigned"]):
+        k = F.when(F.col(c).rlike("^(?:" + FORMS[name] + ")"), F.lit(name)).otherwise(k)
     return k
 
 
@@ -53,7 +67,7 @@ def findings(df: DataFrame, key: str = "doc_id", text: str = "text", owner: Colu
     repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if repository is None else repository
     found = df.select(F.col(key).alias("doc_id"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"), F.explode(candidates(F.col(text))).alias("candidate"))
     found = found.withColumn("kind", _kind()).withColumn("value", _value())
-    return found.groupBy("doc_id", "owner", "repository", "kind", "value").agg(F.count("*").alias("n")).withColumn("hash", F.sha2("value", 256))
+    return found.groupBy("doc_id", "owner", "repository", "kind", "value").agg(F.count("*").alias("n")).withColumn("hash", _hash())
 
 
 def verdicts(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
@@ -83,13 +97,14 @@ def redact_secrets(df: DataFrame, example_owners: int = EXAMPLE_OWNERS, key: str
     """
     found = findings(df, key, text)
     live = verdicts(found, example_owners).where("verdict = 'live'").select("hash")
-    values = found.join(live, "hash").groupBy("hash").agg(F.first("value").alias("value"))
-    has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
+    has = F.coalesce(F.col(text).rlike(FORM), F.lit(False))
     row = fresh(df, "_s_row")
     dirty = df.where(has).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)).withColumn("_s_id", F.monotonically_increasing_id())
-    held = dirty.select("*", F.explode(F.array_distinct(candidates(F.col(row)[text]))).alias("candidate")).withColumn("hash", F.sha2(_value(), 256))
-    held = held.join(values, "hash", "left").groupBy("_s_id").agg(F.first(row).alias(row), F.sort_array(F.collect_set("value"), asc=False).alias("_s_values"))
-    masked = F.aggregate("_s_values", F.col(row)[text], lambda t, v: F.replace(t, v, F.lit(MASK)))
+    held = dirty.select("*", F.explode(F.array_distinct(candidates(F.col(row)[text]))).alias("candidate")).withColumn("value", _value()).withColumn("hash", _hash())
+    # A row's own spellings are masked, the longest first, as one may be a part of another.
+    own = F.when(F.col("_s_live"), F.struct(F.length("value").alias("length"), "value"))
+    held = held.join(live.withColumn("_s_live", F.lit(True)), "hash", "left").groupBy("_s_id").agg(F.first(row).alias(row), F.sort_array(F.collect_set(own), asc=False).alias("_s_values"))
+    masked = F.aggregate("_s_values", F.col(row)[text], lambda t, v: F.replace(t, v["value"], F.lit(MASK)))
     out = held.withColumn("_s_text", masked)
     columns = []
     for c in df.columns:

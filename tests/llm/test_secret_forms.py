@@ -1,0 +1,38 @@
+"""Forms of credentials that the generated tables don't have."""
+
+import pytest
+
+from granary.llm import secrets
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"s{i}", len(t)) for i, t in enumerate(texts)], DOCS)
+
+
+def bodies(n):
+    return [("MIIE" + f"{i}abcdEFGH+/" * 12 + "==") for i in range(n)]
+
+
+@pytest.mark.parametrize("form", ["{b}", "\\n{b}\\n", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n{b}\n", "\r\n{b}\r\n"])
+def test_different_private_keys_are_masked_to_their_end(spark, form):
+    df = documents(spark, [f'"k": "-----BEGIN RSA PRIVATE KEY-----{form.format(b=b)}-----END RSA PRIVATE KEY-----", next' for b in bodies(5)])
+    rows = secrets.scan_secrets(df).collect()
+    assert {(r.kind, r.owners, r.verdict) for r in rows} == {("private_key", 1, "live")} and len({r.hash for r in rows}) == 5
+    assert {r.text for r in secrets.redact_secrets(df).collect()} == {'"k": "[SECRET]", next'}
+
+
+def test_one_private_key_has_one_hash_and_every_spelling_is_masked(spark):
+    (b,) = bodies(1)
+    head, tail = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    df = documents(spark, [f"a {head}{s}{b[:64]}{s}{b[64:]}{s}{tail} z" for s in ("\n", "\\n", "\r\n")])
+    rows = secrets.scan_secrets(df).collect()
+    assert len({r.hash for r in rows}) == 1 and {(r.owners, r.verdict) for r in rows} == {(3, "live")}
+    assert {r.text for r in secrets.redact_secrets(df).collect()} == {"a [SECRET] z"}
+
+
+def test_private_keys_without_an_end_and_very_long_ones(spark):
+    head = "-----BEGIN PRIVATE KEY-----"
+    df = documents(spark, [f"{head}\\nMIIEabc\\n, and {head}\nMIIEdef\n-----END PRIVATE KEY-----.", head + "A-b\n" * 300_000 + "-----END PRIVATE KEY-----"])
+    assert {r.text for r in secrets.redact_secrets(df).collect()} == {"[SECRET], and [SECRET].", "[SECRET]"}
