@@ -29,10 +29,19 @@ PATTERN = "(" + "|".join(KINDS.values()) + ")"
 LEAD = "^[A-Za-z_]+[\"']?\\s*[=:]\\s*[\"']?"
 MASK = "[SECRET]"
 _BEGIN, _END = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", "-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: What may stand between the key word and the value: more of the name, and the sign of the assignment.
+_ASSIGN = "[A-Za-z0-9_-]*+\\\\?[\"']?\\s*(?::=|=>|[=:])\\s*"
 #: (kind, pattern of the whole candidate) in Java's syntax. Repeated groups are possessive: these take no stack, however long a text is.
 FORMS = KINDS | {
     # To the END line, whatever is between; where there is none, as far as lines of a key go.
     "private_key": _BEGIN + "(?:[^-]*+(?:-{1,4}+[^-]++)*+" + _END + "|(?:[A-Za-z0-9+/=\\s]|\\\\[nr]|(?<![A-Za-z])(?:Proc-Type|DEK-Info):[^\\r\\n\\\\]*+)*+)",
+    "code_host": "(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,})",
+    "payment": "[sr]k_(?:live|test)_[A-Za-z0-9]{10,}",
+    # A JSON web token is found as such also in a header.
+    "bearer": "(?:[Aa]uthorization|AUTHORIZATION)\\\\?[\"']?\\s*[:=]\\s*\\\\?[\"']?(?i:bearer|basic|token)\\s+(?!" + KINDS["jwt"] + ")[A-Za-z0-9._~+/=-]{8,}|(?:[Bb]earer|BEARER)\\s+(?!" + KINDS["jwt"] + ")[A-Za-z0-9._~+/=-]{20,}",
+    # In quotes all up to the closing one; else up to a space, a quote or an escaped line break. A key is left to private_key.
+    "assigned": "[TtSsAaPp](?i:(?<=t)oken|(?<=s)ecret|(?<=a)pi[_-]?key|(?<=a)ccess[_-]?key|(?<=p)assw(?:or)?d|(?<=p)assphrase|(?<=p)wd)" + _ASSIGN + "(?!\\\\?[\"'`]?-----BEGIN )"
+    + "(?:\"(?:[^\"\\\\\\r\\n]|\\\\[^\\r\\n]){8,}+\"|'(?:[^'\\\\\\r\\n]|\\\\[^\\r\\n]){8,}+'|`[^`\\r\\n]{8,}+`|\\\\\"[^\"\\\\\\r\\n]{8,}+\\\\\"|\\\\?[\"'`]?(?:[^\\s\"'`\\\\]|\\\\(?![nrt\"'])){8,}+)",
 }
 FORM = "(" + "|".join(FORMS.values()) + ")"
 
@@ -43,7 +52,12 @@ def candidates(text: Column) -> Column:
 
 
 def _value(c: str = "candidate") -> Column:
-    return F.when(F.col(c).rlike("^(AKIA|gh[pousr]_|xox|eyJ|-----)"), F.col(c)).otherwise(F.regexp_replace(c, LEAD, ""))
+    """The secret in a candidate: without the name and the quotes of an assignment, or the punctuation after it where there are none."""
+    c = F.col(c)
+    header = F.regexp_extract(c, "(\\S+)$", 1)
+    inner = F.regexp_replace(c, "^[A-Za-z]" + _ASSIGN + "\\\\?[\"'`]?", "")
+    value = F.when(c.rlike("[\"'`]$"), F.regexp_replace(inner, "\\\\?[\"'`]$", "")).otherwise(F.regexp_replace(inner, "[,;)\\]}>]+$", ""))
+    return F.when(c.rlike("^(?:" + "|".join(v for k, v in FORMS.items() if k not in ("assigned", "bearer")) + ")"), c).when(c.rlike("^(?:" + FORMS["bearer"] + ")"), header).otherwise(value)
 
 
 def _hash(value: str = "value") -> Column:
