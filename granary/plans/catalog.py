@@ -16,7 +16,7 @@ from granary.functions import ids, parse
 from granary.functions.text import STOP, sentences
 from granary.operators import canonical, derived, diagnostics, graph, ingest, recall, traverse, vectors
 from granary.sources.tables import read_table as table
-from granary.sources.tables import shared_folder, written
+from granary.sources.tables import scratch, written
 
 c = F.col
 
@@ -71,13 +71,11 @@ def ingest_derived(spark: SparkSession, d: str) -> DataFrame:
 
 def _recalled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Every turn of the conversations as a query, its intent by the nearest centroid; the graph is written first, as every step reads it again."""
-    from uuid import uuid4
-
     from granary.sources import store
 
     config = Config()
     n, e = synthetic_graph(spark, d, config)
-    path = f"{shared_folder(spark)}/graph-{uuid4().hex}"
+    path = scratch(spark, "graph")
     store.save(path, n, e, config)
     g = store.load(spark, path, config)
     granules = ingest.embed_granules(g["nodes"], dimension=config.dimension)
@@ -345,11 +343,9 @@ def entity_canonical_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
     """The conversations read as a stream; the numbered memories that it wrote."""
-    from uuid import uuid4
-
     from granary.streaming.ingest import append_memories
 
-    path = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    path = scratch(spark, "stream")
     schema = table(spark, d, "conversations").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/conversations.parque[t]")
     append_memories(stream, f"{path}/out", f"{path}/checkpoint", "conv_id div 1024", ["conv_id", "turn", "role", "text"]).awaitTermination()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -9,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: The folder of this process, where the session names none.
+_own: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -35,12 +39,25 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="granary-")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="granary-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        folder = _own[0]
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in this application's own part of the shared folder; all of that is deleted when the application ends."""
+    own = f"{shared_folder(spark)}/granary-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own)
+    # The file system keeps a set of what it deletes at its end.
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to a new folder in the shared one, and read from there: for tables that several branches of a plan use."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
