@@ -3,6 +3,7 @@
 A gear hash rolls over the bytes; where its top bits are zero, a chunk may end. As the hash looks only at the last 16
 bytes, a passage gets the same cuts wherever it stands, whatever was inserted before it. Each chunk is known by a 128-bit
 digest. The first place of a digest (lowest key, then lowest offset) keeps its chunk; every other place repeats it.
+What a passage has before its first cut and after its last one lies in chunks with other text and is not reported.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from .common import U64, mix64, need, span_hashes, text_bytes, text_slices
 
 #: Least and most bytes of a chunk; a cut is due at one in 2^CUT_BITS places.
 LEAST, MOST, CUT_BITS = 24, 512, 5
-#: Repeats are reported from this many bytes in a row.
-MIN_SPAN = 64
+#: Repeats are reported from this many bytes in a row: some 16 words, more than the lines that unrelated texts share.
+MIN_SPAN = 96
 with np.errstate(over="ignore"):
     GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * U64(0x2545F4914F6CDD1D)) >> U64(48)).astype(np.uint16)
 
@@ -100,14 +101,35 @@ def repeats(df: DataFrame, min_span: int = MIN_SPAN, key: str = "doc_id", text:
 
 
 def cut_repeats(df: DataFrame, min_span: int = MIN_SPAN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows of ``df`` with the repeats cut out of their texts; rows without repeats, and null keys, stay as they are."""
-    spans = repeats(df, min_span, key, text).groupBy(F.col("doc_id").alias("_r_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_r_spans"))
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_r_row"), F.col(key).alias("_r_key"))
-    joined = row.join(spans, "_r_key", "left")
-    raw = F.encode(F.col("_r_row")[text], "UTF-8")
-    kept = F.concat(
-        F.expr(f"aggregate(_r_spans, struct(cast('' AS binary) AS t, 0 AS at), (a, s) -> struct(concat(a.t, substring(encode(_r_row.`{text}`, 'UTF-8'), a.at + 1, s.start - a.at)) AS t, s.end AS at)).t"),
-        F.substring(raw, F.element_at("_r_spans", -1)["end"] + 1, F.octet_length(raw)),
-    )
-    new = F.when(F.col("_r_spans").isNull(), F.col("_r_row")[text]).otherwise(F.decode(kept, "UTF-8"))
-    return joined.select(*[(new if c == text else F.col("_r_row")[c]).alias(c) for c in df.columns])
+    """All rows of ``df``, with its columns, and the repeats cut out of their texts.
+
+    Rows that share a key are told apart by a hash of their texts; of texts under one key that of the lower hash counts as
+    first. Repeated rows (equal key and text) are one document and stay alike. Null keys, and null, empty and blank texts, stay
+    as they are. Very long texts are cut whole. An empty table gives an empty one; other columns pass through, whatever their names.
+    """
+    need(df, key, text)
+    unit = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")))
+    spans = repeats(df.select(unit.alias("unit"), F.col(text).alias("text")), min_span, "unit", "text")
+    spans = spans.groupBy(F.col("doc_id").alias("_r_unit")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_r_spans"))
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_r_row"), unit.alias("_r_unit"))
+    joined = row.join(spans, "_r_unit", "left").select(*[F.col("_r_row")[c].alias(f"c{i}") for i, c in enumerate(df.columns)], "_r_spans")
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at)
+            cut = np.flatnonzero(np.asarray(b.column(b.num_columns - 1).is_valid()))
+            if len(cut):
+                values = texts.to_pylist()
+                for i in cut.tolist():
+                    raw, kept, last = values[i].encode(), [], 0
+                    for s in b.column(b.num_columns - 1)[i].as_py():
+                        kept.append(raw[last : s["start"]])
+                        last = s["end"]
+                    values[i] = b"".join([*kept, raw[last:]]).decode()
+                texts = pa.array(values, texts.type)
+            columns = b.columns[:-1]
+            columns[at] = texts
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    return joined.mapInArrow(run, joined.drop("_r_spans").schema).toDF(*df.columns)
