@@ -9,16 +9,16 @@ two recordings of one sound share codes at a constant shift of time.
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from .common import need, row_slices
+from .common import need, row_slices, text_slices
 
 FRAME, HOP, PEAKS, PAIRS, REACH = 256, 128, 3, 3, 31
 #: Frames that are transformed at a time.
@@ -113,7 +113,7 @@ def fingerprints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint_audio(df: DataFrame, key: str, wav: str) -> DataFrame:
     """(key, rate, channels, samples, times, codes) of every row of ``df``; times and codes are arrays of equal length, by time.
 
-    A null or unreadable file gives nulls, one without samples empty arrays. Whole recordings are read. Null keys and
+    A null or unreadable file gives nulls, one without samples empty arrays; a header may name any rate. Whole recordings are read. Null keys and
     repeated rows are handled as any others; other columns are not returned. An empty table gives no rows.
     """
     need(df, key, wav)
@@ -124,32 +124,37 @@ def fingerprint_audio(df: DataFrame, key: str, wav: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            sizes = np.asarray(whole.column(1).cast(pa.large_binary()).fill_null(b"").binary_length() if hasattr(pa.Array, "binary_length") else pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0))
+            sizes = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)
             for lo, hi in row_slices(sizes, 4 << 20):
                 rows: list[list] = [[] for _ in range(5)]
                 for raw in whole.column(1).slice(lo, hi - lo).to_pylist():
                     try:
                         rate, channels, x = read_wav(raw)
-                    except (wave.Error, EOFError, TypeError, ValueError):
+                    except (wave.Error, struct.error, EOFError, OverflowError, RuntimeError, TypeError, ValueError):
                         values = (None,) * 5
                     else:
                         values = (rate, channels, len(x), *fingerprints(x))
                     for column, v in zip(rows, values):
                         column.append(v)
-                types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(rows, types))], names)
 
-    return df.select(key, wav).mapInArrow(run, f"`{key}` {kind}, rate int, channels int, samples bigint, times array<int>, codes array<int>")
-
-
-@F.udf(BinaryType(), useArrow=True)
-def _wav_of(raw):
-    return None if raw is None else write_wav(bytes(raw))
+    return df.select(key, wav).mapInArrow(run, f"`{key}` {kind}, rate bigint, channels int, samples bigint, times array<int>, codes array<int>")
 
 
 def sonify(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, wav): the UTF-8 bytes of each whole text as 8-bit samples of a WAV file; null for null.
 
-    The tables have no audio; this makes a media column of known content out of one that they have.
+    The tables have no audio; this makes a media column of known content out of one that they have. An empty text gives
+    a file without samples. Null keys, repeated rows and ties are handled as any others; other columns are not returned. An
+    empty table gives no rows.
     """
-    return df.select(key, _wav_of(F.encode(F.col(text), "UTF-8")).alias("wav"))
+    need(df, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, part in text_slices(b.column(1)):
+                files = [None if x is None else write_wav(x) for x in part.cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array(files, pa.binary())], [key, "wav"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, wav binary")
