@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.sources.tables import shared_folder
+
 U64 = np.uint64
 #: Text is handled in slices of about this many bytes, so that temporary arrays stay small however large a batch is.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -30,25 +31,11 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; it is set for checkpoints too.
-
-    One of the test machine is used only where that is unset and Spark runs in a single process.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="granary-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there, so that lost executors cost nothing."""
-    shared_folder(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -99,10 +86,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of the slices of a text column."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    for lo, hi in row_slices(sizes):
+    for lo, hi in row_slices(sizes, most):
         yield lo, column.slice(lo, hi - lo)
 
 
@@ -114,17 +101,19 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
-    if lane not in _POWERS or len(_POWERS[lane][0]) < n:
-        m = _LANES[lane]
-        both = []
-        for x in (m, pow(m, -1, 1 << 64)):
-            steps = np.full(max(n, SLICE_BYTES + 1), x, np.uint64)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                both.append(steps.cumprod(dtype=np.uint64))
+    if lane in _POWERS and len(_POWERS[lane][0]) >= n:
+        up, down = _POWERS[lane]
+        return up[:n], down[:n]
+    m, both = _LANES[lane], []
+    for x in (m, pow(m, -1, 1 << 64)):
+        steps = np.full(n + (n >> 3), x, np.uint64)
+        steps[0] = 1
+        with np.errstate(over="ignore"):
+            both.append(steps.cumprod(dtype=np.uint64))
+    if n <= 1 << 21:
+        # Those for a single very long text are not kept.
         _POWERS[lane] = (both[0], both[1])
-    up, down = _POWERS[lane]
-    return up[:n], down[:n]
+    return both[0][:n], both[1][:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
@@ -140,15 +129,12 @@ with np.errstate(over="ignore"):
     _BYTE_KEYS = [mix64(np.arange(1, 257, dtype=np.uint64) * U64(x)) for x in _LANES]
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, offsets by row) of the texts in lower case; a word is a longest run of WORD bytes."""
-    data, offsets = text_bytes(pc.utf8_lower(texts))
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = WORD[data]
-    step = inside[1:] != inside[:-1]
-    edges = np.flatnonzero(step)
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the longest runs of bytes where ``inside`` holds; a run never spans two rows."""
+    wide = np.zeros(len(inside) + 2, bool)
+    wide[1:-1] = inside
+    edges = np.flatnonzero(wide[1:] != wide[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    # A word never spans two rows: cut the runs at row starts.
     cuts = offsets[1:-1]
     if len(cuts) and len(starts):
         at = np.searchsorted(starts, cuts, side="left") - 1
@@ -156,6 +142,13 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inner = np.unique(cuts[at_ok][(ends[at[at_ok]] > cuts[at_ok])])
         if len(inner):
             starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+    return starts, ends
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, offsets by row) of the texts in lower case; a word is a longest run of WORD bytes."""
+    data, offsets = text_bytes(pc.utf8_lower(texts))
+    starts, ends = spans(WORD[data], offsets)
     return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
