@@ -95,6 +95,98 @@ def recall_facts(spark: SparkSession, d: str) -> DataFrame:
     return _recalled(spark, d)[1]
 
 
+# A graph whose parse SQL can give too: names are words with a capital, n-grams the first two words of a sentence, and a memory claims
+# that its first two names are near each other and that its speaker likes its first word.
+
+LITERAL = Config(match_threshold=None, dimension=3)
+
+
+def literal_parse(spark: SparkSession, d: str) -> DataFrame:
+    m = memories(spark, d).select("memory_index", "memory_id", "turn_id", c("text").alias("content"), F.concat(F.lit("2026-01-01T"), F.lpad((c("turn") % 24).cast("string"), 2, "0"), F.lit(":00:00Z")).alias("timestamp"), c("role").alias("speaker"), F.lit("conversations").alias("source"), F.array().cast("array<struct<k:string,v:string>>").alias("metadata"))
+    none, zero = F.array(), F.lit(0)
+    m = m.withColumn("s", F.explode(F.array(F.coalesce(sentences("content"), none.cast("array<string>"))))).withColumn("n", F.coalesce(F.regexp_extract_all("content", F.lit("([A-Z][a-z]{2,})"), F.lit(1)), none.cast("array<string>")))
+    m = m.withColumn("first", F.lower(F.regexp_extract(F.coalesce("content", F.lit("")), "[A-Za-z]+", 0)))
+    segments = F.transform("s", lambda x, i: F.struct(i.alias("index"), x.alias("text"), zero.alias("start"), zero.alias("end")))
+    words = F.transform("s", lambda x, i: F.struct(i.alias("i"), F.regexp_extract_all(F.lower(x), F.lit("([a-z]+)"), F.lit(1)).alias("w")))
+    pair = lambda x: F.concat(F.get(x["w"], zero), F.lit(" "), F.get(x["w"], F.lit(1)))
+    grams = F.transform(F.filter(words, lambda x: F.size(x["w"]) > 1), lambda x: F.struct(x["i"].alias("segment"), F.lit("noun_chunk").alias("kind"), pair(x).alias("text"), pair(x).alias("surface"), zero.alias("start"), zero.alias("end")))
+    names = F.transform("n", lambda x: F.struct(x.alias("surface"), F.lit("NAME").alias("kind"), zero.alias("start"), zero.alias("end")))
+    claim = lambda speaker, subject, object_, literal, predicate: F.struct(zero.alias("segment"), F.lit(speaker).alias("speaker"), F.lit(subject).cast("int").alias("subject"), F.lit(object_).cast("int").alias("object"), literal.alias("literal"), F.lit(predicate).alias("predicate"), F.lit("asserted").alias("modality"), F.lit("present").alias("tense"))
+    near = F.when(F.size("n") > 1, claim(False, 0, 1, F.lit(None).cast("string"), "near"))
+    likes = F.when(c("first") != "", claim(True, None, None, c("first"), "like"))
+    return m.withColumn("segments", segments).withColumn("grams", grams).withColumn("mentions", names).withColumn("claims", F.array_compact(F.array(near, likes))).drop("s", "n", "first")
+
+
+def literal_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n, e = ingest.ingest(literal_parse(spark, d), LITERAL)
+    return written(graph.upsert_nodes(n, list(ingest.PAYLOADS))), written(graph.upsert_edges(e))
+
+
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _ = literal_graph(spark, d)
+    value = F.coalesce("memory.content", "turn.text", "utterance_segment.text", "ngram.normalized_text", "entity.canonical_form", "claim.predicate", "preference.target_literal", "time_anchor.iso_timestamp")
+    return nodes.select("id", F.array_join("labels", ",").alias("label"), F.array_join("layers", ",").alias("layer"), value.alias("value"))
+
+
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return literal_graph(spark, d)[1].select("src", "dst", "type", "weight", "surface_form", "source_memory_id", "asserted_at")
+
+
+def graph_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.coverage(*literal_graph(spark, d))
+
+
+def graph_derived(spark: SparkSession, d: str) -> DataFrame:
+    """(index, a, b, value): the five derived indexes of the graph."""
+    index = derived.rebuild(*literal_graph(spark, d))
+    text = lambda *names: F.concat_ws("|", *[F.coalesce(c(n).cast("string"), F.lit("")) for n in names])
+    shapes = {
+        "aliases": ("entity_id", F.lit(""), F.array_join("aliases", "|")),
+        "co_occurrence": ("entity_a", c("entity_b"), text("count")),
+        "reinforcement": ("node_id", c("kind"), text("count", "earliest", "latest")),
+        "current_preference": ("holder_id", c("target_key"), text("polarity", "preference_id", "asserted_at")),
+        "time_anchor_chain": ("time_anchor_id", c("iso_timestamp"), text("prev_id", "next_id")),
+    }
+    out = None
+    for name, (first, second, value) in shapes.items():
+        t = index[name].select(F.lit(name).alias("index"), c(first).alias("a"), second.alias("b"), value.alias("value"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def _literal_recall(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every turn is a query that names what it mentions, the intents in turn; a text's vector is made of its length."""
+    nodes, edges = literal_graph(spark, d)
+    vec = lambda t: F.array((F.length(t) % 7).cast("float"), (F.length(t) % 11).cast("float"), F.lit(1.0).cast("float"))
+    kind = F.when(c("turn").isNotNull(), "turn").when(c("utterance_segment").isNotNull(), "sentence").when(c("ngram").isNotNull(), "ngram")
+    granules = nodes.select(c("id").alias("node_id"), kind.alias("granularity"), vec(F.coalesce("turn.text", "utterance_segment.text", "ngram.normalized_text")).alias("vec")).where("granularity IS NOT NULL")
+    order = F.array(*[F.lit(i) for i in recall.INTENTS])
+    queries = nodes.where("turn IS NOT NULL").join(nodes.where("memory IS NOT NULL").select(c("id").alias("m"), "memory.memory_index"), c("turn.memory_id") == c("m"))
+    queries = queries.select(c("id").alias("query_id"), "turn.text", vec(c("turn.text")).alias("vec"), F.element_at(order, (c("memory_index") % len(recall.INTENTS) + 1).cast("int")).alias("hint"))
+    said = edges.where("type = 'mentions'").select(c("src").alias("query_id"), c("surface_form").alias("surface"), F.lit("NAME").alias("kind"))
+    return recall.recall(queries, nodes, edges, granules, derived.rebuild(nodes, edges), said, LITERAL)
+
+
+def graph_passages(spark: SparkSession, d: str) -> DataFrame:
+    t = _literal_recall(spark, d)[0]
+    return t.select("query_id", "rank", "id", "granularity", F.round("score", 6).alias("score"), "source_memory_id", "source_memory_index", "timestamp", "speaker", F.array_join("supporting_edges", ";").alias("supporting_edges"))
+
+
+def graph_facts(spark: SparkSession, d: str) -> DataFrame:
+    t = _literal_recall(spark, d)[1]
+    return t.select("query_id", "rank", "kind", "subject", "predicate", "object", "value", "timestamp", F.array_join("supporting_memory_ids", ",").alias("memories"))
+
+
+def failure_classes_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's items as answers that recall missed, against the entities of the graph and the pairs that meet in a memory."""
+    nodes, edges = literal_graph(spark, d)
+    none = F.array().cast("array<string>")
+    cases = table(spark, d, "benchmark").where("item_id IS NOT NULL").select(_text("item_id").alias("question_id"), c("text").alias("gold"), none.alias("passages"), none.alias("facts"), F.lit(False).alias("judged_correct"), F.lit("benchmark").alias("bucket"))
+    names = nodes.where("entity IS NOT NULL").select("id", c("entity.canonical_form").alias("text"))
+    pairs_ = derived.rebuild(nodes, edges)["co_occurrence"].select(c("entity_a").alias("src"), c("entity_b").alias("dst"))
+    return diagnostics.classify_failures(cases, names, pairs_).select("question_id", "kind", F.round("node_recall", 6).alias("node_recall"))
+
+
 # Graph writes and derived indexes.
 
 
@@ -185,8 +277,9 @@ def centroid_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def discrimination_margin(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with an even id make the centroids, the others are held out."""
     v = _vectors(spark, d)
-    return vectors.median_margins(v, vectors.centroids(v, "label"))
+    return vectors.median_margins(v.where("vec_id % 2 = 1"), vectors.centroids(v.where("vec_id % 2 = 0"), "label"))
 
 
 # Walks, passages, facts.
@@ -226,7 +319,7 @@ def _walked(spark: SparkSession, d: str, frontier: int) -> DataFrame:
 
 
 def bfs_expand(spark: SparkSession, d: str) -> DataFrame:
-    return _walked(spark, d, 8).withColumn("score", F.round("score", 6))
+    return _walked(spark, d, 256).withColumn("score", F.round("score", 6))
 
 
 def bfs_uncapped(spark: SparkSession, d: str) -> DataFrame:
@@ -239,8 +332,8 @@ def _granules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, d: str) -> DataFrame:
-    scores = _walked(spark, d, 8).withColumn("score", F.round("score", 6))
-    return recall.top_passages(scores, _granules(spark, d), 5, ["customer", "supplier", "part"])
+    scores = _walked(spark, d, 256).withColumn("score", F.round("score", 6))
+    return recall.top_passages(scores, _granules(spark, d), 16, ["customer", "supplier", "part"])
 
 
 def passage_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +342,7 @@ def passage_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def passages_assembled(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "nation").select(_named("n", "n_nationkey").alias("id"), c("n_name").alias("text"))
-    best = _passages(spark, d)
+    best = written(_passages(spark, d))
     edges = walk_edges(spark, d).where("type = 'part_of'")
     t = best.join(_granules(spark, d).select("id", "text"), "id", "left").join(recall.supporting_edges(best, edges, labels, ("part_of",)), ["query_id", "id"], "left")
     return t.select("query_id", "rank", "id", "label", "text", "score", F.coalesce(F.array_join("supporting_edges", ";"), F.lit("")).alias("supporting_edges"))
@@ -355,7 +448,7 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        memory_append, granule_part_of, token_ngrams, ingest_coverage, ingest_derived, recall_passages, recall_facts, mention_edges, node_upsert, entity_aliases, co_occurrence, reinforcement, current_preference, change_events,
+        memory_append, granule_part_of, token_ngrams, graph_nodes, graph_edges, graph_coverage, graph_derived, graph_passages, graph_facts, failure_classes_graph, ingest_coverage, ingest_derived, recall_passages, recall_facts, mention_edges, node_upsert, entity_aliases, co_occurrence, reinforcement, current_preference, change_events,
         time_anchor_chain, temporal_at_fanin, knn_topk, knn_per_granularity, centroid_classify, discrimination_margin, seed_merge, bfs_expand, bfs_uncapped, passage_topk, passages_assembled, facts_reinforcement, facts_co_occurrence,
         coverage_report, needle_overlap, failure_classes, bucket_breakdown, graph_gap, snapshot_diff, config_audit, profile_stats, entity_canonical_exact, entity_canonical_fuzzy, ingest_stream,
     )
@@ -406,7 +499,7 @@ def _layers(cap: int) -> str:
 
 
 _GRAN = """gr AS (SELECT 'c:' || c_custkey AS id, 'customer' AS label, c_name AS text FROM customer UNION ALL SELECT 's:' || s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT 'p:' || p_partkey, 'part', p_name FROM part)"""
-_PASS = _layers(8) + ", " + _GRAN + """, pa AS (SELECT * FROM (SELECT query_id, id, label, text, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM bfs JOIN gr USING (id) WHERE score > 0) WHERE rank <= 5)"""
+_PASS = _layers(256) + ", " + _GRAN + """, pa AS (SELECT * FROM (SELECT query_id, id, label, text, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM bfs JOIN gr USING (id) WHERE score > 0) WHERE rank <= 16)"""
 _FOLD = "replace(lower({}), 'ß', 'ss')"
 _TERMS = "list_sort(list_filter(list_distinct(regexp_extract_all(" + _FOLD + ", '([a-z0-9]{{3,}})', 1)), lambda x: NOT list_contains(" + _STOP + ", x)))"
 _CASES = f"""ca AS (
@@ -416,7 +509,95 @@ _CASES = f"""ca AS (
 ), cr AS (SELECT *, CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: contains(passage, x)))::DOUBLE / len(t) ELSE 0 END AS pr, CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: contains(fact, x)))::DOUBLE / len(t) ELSE 0 END AS fr FROM ca),
 fc AS (SELECT question_id, CASE WHEN ok THEN 'correct' WHEN pr = 0 THEN 'retrieval_miss' WHEN pr < 0.5 THEN 'partial_retrieval' WHEN fr = 0 THEN 'output_miss' ELSE 'agent_miss' END AS kind, round(pr, 6) AS passage_recall, round(fr, 6) AS fact_recall, bucket FROM cr)"""
 
+_LIT = _SEG + f""", p AS (
+  SELECT *, '2026-01-01T' || lpad((turn % 24)::VARCHAR, 2, '0') || ':00:00Z' AS seen_at, lower(trim(coalesce(nullif(role, ''), '__anonymous__'))) AS speaker,
+    regexp_extract_all(text, '([A-Z][a-z]{{2,}})', 1) AS n, lower(regexp_extract(coalesce(text, ''), '[A-Za-z]+')) AS first FROM mt
+), pp AS (SELECT *, {_id("'{\"canonical_form\":\"' || speaker || '\",\"entity_type\":\"SPEAKER\",\"type\":\"entity\"}'")} AS speaker_id, {_id("'{\"iso_timestamp\":\"' || seen_at || '\",\"type\":\"time_anchor\"}'")} AS anchor FROM p),
+mm AS (SELECT memory_index, memory_id, turn_id, seen_at, anchor, surface, place, lower(surface) AS form, {_id("'{\"canonical_form\":\"' || lower(surface) || '\",\"entity_type\":\"NAME\",\"type\":\"entity\"}'")} AS entity
+  FROM (SELECT *, unnest(n) AS surface, unnest(range(len(n))) AS place FROM pp)),
+gg AS (SELECT segment_id, turn_id, w[1] || ' ' || w[2] AS text FROM (SELECT *, regexp_extract_all(lower(text), '([a-z]+)', 1) AS w FROM seg) WHERE len(w) > 1),
+gr2 AS (SELECT *, {_id("'{\"ngram_kind\":\"noun_chunk\",\"normalized_text\":\"' || text || '\",\"segment_id\":\"' || segment_id || '\",\"type\":\"ngram\"}'")} AS id FROM gg),
+cl AS (
+  SELECT pp.memory_index, pp.memory_id, pp.turn_id, pp.seen_at, anchor, speaker_id, a.entity AS own, b.entity AS object_id, NULL AS literal, a.form AS subject, b.form AS object, 'near' AS predicate,
+    {_id("'{\"object_id\":\"' || b.entity || '\",\"object_literal\":null,\"predicate\":\"near\",\"subject_id\":\"' || a.entity || '\",\"type\":\"claim\"}'")} AS id
+  FROM pp JOIN (SELECT memory_index, entity, form FROM mm WHERE place = 0) a USING (memory_index) JOIN (SELECT memory_index, entity, form FROM mm WHERE place = 1) b USING (memory_index)
+  UNION ALL SELECT memory_index, memory_id, turn_id, seen_at, anchor, speaker_id, speaker_id, NULL, first, speaker, first, 'like',
+    {_id("'{\"object_id\":null,\"object_literal\":\"' || first || '\",\"predicate\":\"like\",\"subject_id\":\"' || speaker_id || '\",\"type\":\"claim\"}'")} FROM pp WHERE first <> ''
+), pf AS (SELECT memory_index, memory_id, turn_id, seen_at, anchor, speaker_id, literal, subject, {_id("'{\"holder_id\":\"' || speaker_id || '\",\"polarity\":\"likes\",\"target_id\":null,\"target_literal\":\"' || literal || '\",\"type\":\"preference\"}'")} AS id FROM cl WHERE predicate = 'like'),
+gn AS (
+  SELECT memory_id AS id, 'memory' AS label, '' AS layer, text AS value FROM pp UNION ALL SELECT turn_id, 'turn', '', text FROM pp UNION ALL SELECT segment_id, 'utterance_segment', '', text FROM seg
+  UNION SELECT id, 'ngram', '', text FROM gr2 UNION SELECT speaker_id, 'entity', 'entity', speaker FROM pp UNION SELECT entity, 'entity', 'entity', form FROM mm
+  UNION SELECT id, 'claim', 'relationship', predicate FROM cl UNION SELECT id, 'preference', 'relationship', literal FROM pf UNION SELECT anchor, 'time_anchor', 'temporal', seen_at FROM pp
+), eo AS (
+  SELECT turn_id AS src, memory_id AS dst, 'part_of' AS type, NULL AS surface_form, memory_id, memory_index, seen_at AS asserted_at FROM pp
+  UNION ALL SELECT segment_id, turn_id, 'part_of', NULL, memory_id, memory_index, NULL FROM seg JOIN pp USING (turn_id)
+  UNION ALL SELECT id, segment_id, 'part_of', NULL, memory_id, memory_index, NULL FROM gr2 JOIN pp USING (turn_id)
+  UNION ALL SELECT turn_id, entity, 'mentions', surface, memory_id, memory_index, seen_at FROM mm
+  UNION ALL SELECT turn_id, id, 'asserts', NULL, memory_id, memory_index, seen_at FROM cl
+  UNION ALL SELECT id, own, 'about', NULL, memory_id, memory_index, seen_at FROM cl UNION ALL SELECT id, object_id, 'about', NULL, memory_id, memory_index, seen_at FROM cl WHERE object_id IS NOT NULL
+  UNION ALL SELECT speaker_id, id, 'holds_preference', NULL, memory_id, memory_index, seen_at FROM pf
+  UNION ALL SELECT turn_id, anchor, 'temporal_at', NULL, memory_id, memory_index, seen_at FROM pp UNION ALL SELECT segment_id, anchor, 'temporal_at', NULL, memory_id, memory_index, seen_at FROM seg JOIN pp USING (turn_id)
+  UNION ALL SELECT id, anchor, 'temporal_at', NULL, memory_id, memory_index, seen_at FROM gr2 JOIN pp USING (turn_id) UNION ALL SELECT id, anchor, 'temporal_at', NULL, memory_id, memory_index, seen_at FROM cl UNION ALL SELECT id, anchor, 'temporal_at', NULL, memory_id, memory_index, seen_at FROM pf
+), ge AS (SELECT src, dst, type, 1.0::DOUBLE AS weight, arg_max(surface_form, memory_index) AS surface_form, arg_max(memory_id, memory_index) AS source_memory_id, arg_max_null(asserted_at, memory_index) AS asserted_at FROM eo GROUP BY ALL)"""
+_DER = """me AS (SELECT DISTINCT source_memory_id AS m, dst FROM ge WHERE type = 'mentions'),
+co AS (SELECT a.dst AS entity_a, b.dst AS entity_b, count(*) AS count FROM me a JOIN me b ON a.m = b.m AND a.dst < b.dst GROUP BY ALL),
+re AS (SELECT dst AS node_id, CASE type WHEN 'asserts' THEN 'claim' ELSE 'preference' END AS kind, count(*) AS count, min(asserted_at) AS earliest, max(asserted_at) AS latest FROM ge WHERE type IN ('asserts', 'holds_preference') GROUP BY ALL),
+cp AS (SELECT holder, 'literal:' || literal AS target_key, id, asserted_at FROM (SELECT DISTINCT speaker_id AS holder, literal, id FROM pf) JOIN (SELECT dst AS id, asserted_at FROM ge WHERE type = 'holds_preference') USING (id))"""
+
+
+def _case(table: dict[str, dict[str, float]], first: str, second: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {first} = '{i}' AND {second} = '{k}' THEN {w}" for i, ws in table.items() for k, w in ws.items()) + " END)::DOUBLE"
+
+
+def _recall_sql(depth: int = LITERAL.max_depth) -> str:
+    """Queries, seeds, walk, passages (ps) of the literal graph."""
+    vec = lambda t: f"[(length({t}) % 7)::DOUBLE, (length({t}) % 11)::DOUBLE, 1.0::DOUBLE]"
+    out = f"""{_LIT}, {_DER}, qs AS (SELECT turn_id AS query_id, {vec("text")} AS v, {recall.INTENTS}[(memory_index % {len(recall.INTENTS)} + 1)::INT] AS intent FROM pp),
+gv AS (SELECT turn_id AS id, 'turn' AS g, {vec("text")} AS v FROM pp UNION ALL SELECT segment_id, 'sentence', {vec("text")} FROM seg UNION ALL SELECT id, 'ngram', {vec("text")} FROM gr2),
+nn AS (SELECT query_id, intent, id, g, s, row_number() OVER (PARTITION BY query_id, g ORDER BY s DESC, id) AS r FROM (SELECT query_id, intent, id, g, round(list_cosine_similarity(qs.v, gv.v), 6) AS s FROM qs CROSS JOIN gv)),
+se AS (SELECT query_id, id, s * w AS score FROM (SELECT *, {_case(recall.SEED_WEIGHTS, "intent", "g")} AS w FROM nn WHERE r <= {LITERAL.top_n}) WHERE r <= greatest(1, round_even({LITERAL.top_n} * w, 0))),
+nd AS (SELECT DISTINCT turn_id AS query_id, entity AS id FROM mm),
+es AS (SELECT query_id, id, {recall.ENTITY_SCORE}::DOUBLE AS score FROM nd UNION ALL SELECT DISTINCT nd.query_id, src, {recall.MENTION_SCORE}::DOUBLE FROM nd JOIN ge ON ge.dst = nd.id AND type = 'mentions'),
+sm AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM se UNION ALL SELECT * FROM es) GROUP BY ALL)) WHERE r <= {LITERAL.max_seeds}),
+y0 AS (SELECT query_id, intent, id, score FROM sm JOIN qs USING (query_id) WHERE score > 0)"""
+    for i in range(1, depth + 1):
+        out += f""", y{i} AS (SELECT query_id, intent, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (
+  SELECT query_id, intent, dst AS id, max(score * weight * {_case(recall.EDGE_WEIGHTS, "intent", "type")}) AS score FROM y{i - 1} JOIN ge ON src = id GROUP BY ALL) WHERE score > 0) WHERE r <= {LITERAL.max_frontier})"""
+    return out + ", ys AS (SELECT query_id, id, max(score) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM y{i}" for i in range(depth + 1)) + f""") GROUP BY ALL),
+gc AS (SELECT turn_id AS id, turn_id, 'turn' AS granularity FROM pp UNION ALL SELECT segment_id, turn_id, 'sentence' FROM seg UNION ALL SELECT id, turn_id, 'ngram' FROM gr2),
+ps AS (SELECT * FROM (SELECT query_id, id, turn_id, granularity, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM ys JOIN gc USING (id)) WHERE rank <= {LITERAL.max_passages})"""
+
+
+_FACTS = """bk AS (SELECT dst AS id, array_to_string(list_sort(list(DISTINCT source_memory_id)), ',') AS memories FROM ge WHERE type IN ('asserts', 'holds_preference') GROUP BY dst),
+hc AS (SELECT DISTINCT query_id, dst AS node_id FROM ps JOIN ge ON src = ps.id AND type = 'asserts'),
+rl AS (SELECT DISTINCT id, subject, predicate, object FROM cl),
+nf AS (SELECT query_id, entity_a, entity_b, count, q AS own, o AS other FROM (
+    SELECT nd.query_id, entity_a, entity_b, count, entity_a AS q, entity_b AS o FROM co JOIN nd ON nd.id = entity_a
+    UNION ALL SELECT nd.query_id, entity_a, entity_b, count, entity_b, entity_a FROM co JOIN nd ON nd.id = entity_b WHERE NOT EXISTS (FROM nd x WHERE x.query_id = nd.query_id AND x.id = entity_a))
+  QUALIFY row_number() OVER (PARTITION BY query_id, q ORDER BY count DESC, entity_a, entity_b) <= 5),
+fm AS (SELECT DISTINCT entity AS id, form FROM mm),
+fa AS (
+  SELECT query_id, 'reinforcement' AS kind, subject, predicate, object, CASE WHEN earliest = latest THEN count || ' observations at ' || latest ELSE count || ' observations between ' || earliest || ' and ' || latest END AS value, latest AS timestamp, memories
+  FROM hc JOIN re USING (node_id) JOIN rl ON rl.id = node_id JOIN bk ON bk.id = node_id JOIN qs USING (query_id) WHERE count >= 2 AND intent <> 'entity_resolution'
+  UNION ALL SELECT query_id, 'co_occurrence', a.form, 'co_occurs_with', b.form, count || ' shared memories', NULL, '' FROM nf JOIN fm a ON a.id = own JOIN fm b ON b.id = other JOIN qs USING (query_id) WHERE intent = 'aggregation'
+)"""
+
 ORACLES: dict[str, str] = {
+    "graph_nodes": f"WITH {_LIT} SELECT * FROM gn",
+    "graph_edges": f"WITH {_LIT} SELECT * FROM ge",
+    "graph_coverage": f"""WITH {_LIT} SELECT 'label' AS part, label AS name, count(*) AS count FROM gn GROUP BY label UNION ALL SELECT 'layer', CASE WHEN layer = '' THEN '(unlayered)' ELSE layer END, count(*) FROM gn GROUP BY ALL UNION ALL SELECT 'total', 'nodes', count(*) FROM gn
+UNION ALL SELECT 'ngram_kind', 'noun_chunk', count(*) FROM gn WHERE label = 'ngram' UNION ALL SELECT 'edge_type', type, count(*) FROM ge GROUP BY type UNION ALL SELECT 'total', 'edges', count(*) FROM ge""",
+    "graph_derived": f"""WITH {_LIT}, {_DER} SELECT 'aliases' AS "index", dst AS a, '' AS b, array_to_string(list_sort(list(DISTINCT surface_form)), '|') AS value FROM ge WHERE type = 'mentions' GROUP BY dst
+UNION ALL SELECT 'co_occurrence', entity_a, entity_b, count::VARCHAR FROM co UNION ALL SELECT 'reinforcement', node_id, kind, count || '|' || earliest || '|' || latest FROM re
+UNION ALL SELECT 'current_preference', holder, target_key, 'likes|' || id || '|' || asserted_at FROM cp
+UNION ALL SELECT 'time_anchor_chain', anchor, seen_at, coalesce(lag(anchor) OVER w, '') || '|' || coalesce(lead(anchor) OVER w, '') FROM (SELECT DISTINCT anchor, seen_at FROM pp) WINDOW w AS (ORDER BY seen_at, anchor)""",
+    "graph_passages": f"""WITH {_recall_sql()}, su AS (SELECT turn_id AS id, array_to_string(list_sort(list(subject || ' ' || predicate || '(' || object || ')')), ';') AS s FROM (SELECT DISTINCT turn_id, id, subject, predicate, object FROM cl) GROUP BY turn_id)
+SELECT query_id, rank, ps.id, granularity, round(score, 6) AS score, memory_id AS source_memory_id, memory_index AS source_memory_index, seen_at AS timestamp, role AS speaker, coalesce(s, '') AS supporting_edges FROM ps JOIN pp USING (turn_id) LEFT JOIN su ON su.id = ps.id""",
+    "graph_facts": f"WITH {_recall_sql()}, {_FACTS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, subject, predicate, object, value)::INT AS rank FROM fa",
+    "failure_classes_graph": f"""WITH {_LIT}, {_DER}, t AS (SELECT item_id::VARCHAR AS question_id, {_TERMS.format("text")} AS t FROM benchmark WHERE item_id IS NOT NULL),
+en AS (SELECT id, value FROM gn WHERE label = 'entity'), h AS (SELECT question_id, id, list_filter(t, lambda x: contains(value, x)) AS f FROM t CROSS JOIN en WHERE len(list_filter(t, lambda x: contains(value, x))) > 0),
+nh AS (SELECT question_id, count(*) AS n, len(list_distinct(flatten(list(f)))) AS k FROM h GROUP BY question_id), i AS (SELECT DISTINCT a.question_id FROM h a JOIN co ON a.id = entity_a JOIN h b ON b.id = entity_b AND a.question_id = b.question_id)
+SELECT question_id, CASE WHEN coalesce(k, 0) = 0 THEN 'extraction_miss' WHEN n >= 2 AND question_id NOT IN (FROM i) THEN 'graph_gap' ELSE 'retrieval_miss' END AS kind, round(CASE WHEN len(t) > 0 THEN coalesce(k, 0) / len(t) ELSE 0 END, 6) AS node_recall FROM t LEFT JOIN nh USING (question_id)""",
     "memory_append": f"WITH {_MEM} SELECT conv_id, turn, memory_index, memory_id, turn_id FROM mt",
     "ingest_stream": f"WITH {_MEM} SELECT conv_id, turn, memory_index, memory_id, turn_id FROM mt",
     "granule_part_of": f"WITH {_SEG} SELECT * FROM seg",
@@ -437,19 +618,19 @@ SELECT id, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, coal
     "knn_per_granularity": f"WITH {_COS} SELECT query_id, id, label::VARCHAR AS granularity, round(score * ((10 - label) / 10), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS r FROM ks) WHERE r <= greatest(1, round(12 * ((10 - label) / 10))) AND label < 10",
     "centroid_classify": f"""WITH {_CENT}, t AS (SELECT vec_id, list(score ORDER BY score DESC, class::VARCHAR) AS s, list(class::VARCHAR ORDER BY score DESC, class::VARCHAR) AS k FROM sc GROUP BY vec_id)
 SELECT vec_id, CASE WHEN round(s[1] - s[2], 6) >= 0.05 THEN k[1] ELSE 'single_fact' END AS class, s[1] AS top, s[2] AS second, round(s[1] - s[2], 6) AS margin, least(greatest(s[1], 0), 1) AS confidence FROM t""",
-    "discrimination_margin": f"WITH {_CENT}, m AS (SELECT vec_id, own, max(score) FILTER (class = own) AS a, max(score) FILTER (class <> own) AS b FROM sc GROUP BY ALL) SELECT own AS class, round(median(a - b), 6) AS margin FROM m GROUP BY own",
+    "discrimination_margin": f"WITH {_CENT.replace('label IS NOT NULL)', 'label IS NOT NULL AND vec_id % 2 = 0)').replace('FROM embeddings e CROSS', 'FROM (SELECT * FROM embeddings WHERE vec_id % 2 = 1) e CROSS')}, m AS (SELECT vec_id, own, max(score) FILTER (class = own) AS a, max(score) FILTER (class <> own) AS b FROM sc GROUP BY ALL) SELECT own AS class, round(median(a - b), 6) AS margin FROM m GROUP BY own",
     "seed_merge": "SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT query_id, id, max(score) AS score FROM (SELECT l_suppkey AS query_id, l_partkey AS id, l_discount AS score FROM lineitem UNION ALL SELECT l_suppkey, l_partkey, l_tax FROM lineitem) GROUP BY ALL)) WHERE r <= 64",
-    "bfs_expand": f"WITH {_layers(8)} SELECT * FROM bfs",
+    "bfs_expand": f"WITH {_layers(256)} SELECT * FROM bfs",
     "bfs_uncapped": f"WITH {_layers(0)} SELECT * FROM bfs",
     "passage_topk": f"WITH {_PASS} SELECT query_id, id, label, score, rank FROM pa",
-    "passages_assembled": f"""WITH {_PASS}, su AS (SELECT src AS id, array_to_string(list_sort(list(DISTINCT 'part_of: ' || coalesce(n_name, ''))), ';') AS s FROM e LEFT JOIN nation ON dst = 'n:' || n_nationkey WHERE type = 'part_of' GROUP BY src)
+    "passages_assembled": f"""WITH {_PASS}, su AS (SELECT src AS id, array_to_string(list_sort(list(n_name)), ';') AS s FROM e JOIN nation ON dst = 'n:' || n_nationkey WHERE type = 'part_of' GROUP BY src)
 SELECT query_id, rank, pa.id, label, text, score, coalesce(s, '') AS supporting_edges FROM pa LEFT JOIN su ON pa.id = su.id""",
     "facts_reinforcement": f"""WITH {_OBS}, x AS (SELECT user_id, event_type, count(*) AS n, min(seen) AS a, max(seen) AS b FROM ob WHERE user_id IS NOT NULL GROUP BY ALL)
 SELECT user_id AS query_id, 'reinforcement' AS kind, user_id::VARCHAR AS subject, 'did' AS predicate, event_type AS object, CASE WHEN a = b THEN n || ' observations at ' || a ELSE n || ' observations between ' || a || ' and ' || b END AS value, b AS timestamp FROM x WHERE n >= 2""",
-    "facts_co_occurrence": f"""WITH {_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY entity_a ORDER BY count DESC, entity_a, entity_b) AS r FROM pr)
-SELECT entity_a AS query_id, 'co_occurrence' AS kind, coalesce(x.p_name, '') AS subject, 'co_occurs_with' AS predicate, coalesce(y.p_name, '') AS object, count::VARCHAR AS value, NULL::VARCHAR AS timestamp
-FROM (SELECT entity_a, entity_b, count, entity_a AS q FROM pr UNION ALL SELECT entity_a, entity_b, count, entity_b FROM pr) z LEFT JOIN part x ON entity_a = x.p_partkey LEFT JOIN part y ON entity_b = y.p_partkey WHERE q IN (SELECT p_partkey FROM part)
-QUALIFY row_number() OVER (PARTITION BY q ORDER BY count DESC, entity_a, entity_b) <= 5""".replace("SELECT entity_a AS query_id", "SELECT q AS query_id").replace(", o AS (SELECT *, row_number() OVER (PARTITION BY entity_a ORDER BY count DESC, entity_a, entity_b) AS r FROM pr)", ""),
+    "facts_co_occurrence": f"""WITH {_PAIRS}
+SELECT q AS query_id, 'co_occurrence' AS kind, coalesce(x.p_name, '') AS subject, 'co_occurs_with' AS predicate, coalesce(y.p_name, '') AS object, count || ' shared memories' AS value, NULL::VARCHAR AS timestamp
+FROM (SELECT entity_a, entity_b, count, entity_a AS q, entity_b AS o FROM pr UNION ALL SELECT entity_a, entity_b, count, entity_b, entity_a FROM pr) z LEFT JOIN part x ON q = x.p_partkey LEFT JOIN part y ON o = y.p_partkey WHERE q IN (SELECT p_partkey FROM part)
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY count DESC, entity_a, entity_b) <= 5""",
     "coverage_report": f"""WITH {_WALK}, n AS (SELECT ['customer', c_mktsegment] AS labels, '(unlayered)' AS layer FROM customer UNION ALL SELECT ['supplier'], 'supply' FROM supplier)
 SELECT 'label' AS part, name, count(*) AS count FROM (SELECT unnest(labels) AS name FROM n) GROUP BY name UNION ALL SELECT 'layer', layer, count(*) FROM n GROUP BY layer UNION ALL SELECT 'total', 'nodes', count(*) FROM n
 UNION ALL SELECT 'edge_type', type, count(*) FROM e GROUP BY type UNION ALL SELECT 'total', 'edges', count(*) FROM e""",
