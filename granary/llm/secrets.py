@@ -1,20 +1,32 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Candidates are found by pattern in the whole text of every document. Each distinct value (by its SHA-256) is counted
-over the distinct owners and repositories that hold it. A value that many owners hold is an example that people copied;
-one that few hold is taken for a live credential of theirs. The documents table has no repository or owner columns:
+over the distinct owners and repositories that hold it. A value that many owners hold, or several owners in many repositories, is
+an example that people copied, and so is one that says itself that it stands for another; one that few hold is taken for a live
+credential of theirs. The documents table has no repository or owner columns:
 by default the owner is the source, and the repository is the source and language.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from granary.sources.tables import written
 
 from .common import fresh, need
 
-#: A value that at least this many owners hold is an example.
-EXAMPLE_OWNERS = 4
+#: A value that at least this many owners hold is an example; one that several hold also from this many repositories on.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 4, 8
+#: Values that stand for a secret, in the syntax that Java and RE2 share; held against the value in lower case.
+PLACEHOLDER = "^[^a-z0-9]*(your|my|some|the)[^a-z]|example|placeholder|change.?me|redacted|dummy|x{6,}|<[^>]*>|[$][{]|[{][{]"
+#: Every candidate has one of these, in any case. One pass of an automaton looks for all of them, far cheaper than the patterns.
+STEMS = "(?i)token|secret|api[_-]?key|access[_-]?key|passw|passphrase|pwd|bearer|authorization|-----begin |akia|gh[pousr]_|github_pat_|xox[abprs]-|eyj|[sr]k_(?:live|test)_"
 #: The forms that the SQL knows; these patterns mean the same to Java and RE2. The operators use FORMS.
 KINDS = {
     "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]*",
@@ -39,13 +51,29 @@ FORMS = KINDS | {
     "payment": "[sr]k_(?:live|test)_[A-Za-z0-9]{10,}",
     # A JSON web token is found as such also in a header.
     "bearer": "(?:[Aa]uthorization|AUTHORIZATION)\\\\?[\"']?\\s*[:=]\\s*\\\\?[\"']?(?i:bearer|basic|token)\\s+(?!" + KINDS["jwt"] + ")[A-Za-z0-9._~+/=-]{8,}|(?:[Bb]earer|BEARER)\\s+(?!" + KINDS["jwt"] + ")[A-Za-z0-9._~+/=-]{20,}",
-    # In quotes all up to the closing one; else up to a space, a quote or an escaped line break. A key is left to private_key.
+    # In quotes all up to the closing one; else up to a space, a quote or an escaped line break, where that is more than a word of prose.
+    # A key is left to private_key.
     "assigned": "[TtSsAaPp](?i:(?<=t)oken|(?<=s)ecret|(?<=a)pi[_-]?key|(?<=a)ccess[_-]?key|(?<=p)assw(?:or)?d|(?<=p)assphrase|(?<=p)wd)" + _ASSIGN + "(?!\\\\?[\"'`]?-----BEGIN )"
-    + "(?:\"(?:[^\"\\\\\\r\\n]|\\\\[^\\r\\n]){8,}+\"|'(?:[^'\\\\\\r\\n]|\\\\[^\\r\\n]){8,}+'|`[^`\\r\\n]{8,}+`|\\\\\"[^\"\\\\\\r\\n]{8,}+\\\\\"|\\\\?[\"'`]?(?:[^\\s\"'`\\\\]|\\\\(?![nrt\"'])){8,}+)",
+    + "(?:\"(?:[^\"\\\\\\r\\n]|\\\\[^\\r\\n]){8,}+\"|'(?:[^'\\\\\\r\\n]|\\\\[^\\r\\n]){8,}+'|`[^`\\r\\n]{8,}+`|\\\\\"[^\"\\\\\\r\\n]{8,}+\\\\\"|\\\\?[\"'`]?(?=[^\\s\"'`]*(?:[0-9!#$%&*+/=?@^~|]|[a-z][A-Z]))(?:[^\\s\"'`\\\\]|\\\\(?![nrt\"'])){8,}+)",
 }
 FORM = "(" + "|".join(FORMS.values()) + ")"
 
 
+def _flagged(df: DataFrame, text: str, flag: str, only: bool = False) -> DataFrame:
+    """``df`` with a column ``flag``: whether the text can hold a candidate at all; ``only`` such rows."""
+    at = df.columns.index(text)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = StructType([*plain.schema.fields, StructField(flag, BooleanType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may = pc.fill_null(pc.match_substring_regex(b.column(at), STEMS), False)
+            out = pa.RecordBatch.from_arrays([*b.columns, may], schema.names)
+            yield out.filter(may) if only else out
+
+    return plain.mapInArrow(run, schema).toDF(*df.columns, flag)
+
+
 def candidates(text: Column) -> Column:
     """All candidates in a text, in order, with repeats; null for null."""
     return F.regexp_extract_all(text, F.lit(FORM), F.lit(1))
@@ -76,28 +104,36 @@ def _kind(c: str = "candidate") -> Column:
 
 def findings(df: DataFrame, key: str = "doc_id", text: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """(doc_id, owner, repository, kind, value, hash, n) of every distinct candidate of every row of ``df``."""
-    need(df, key, text)
+    need(df, key, text, *(["source"] if owner is None or repository is None else []), *(["lang"] if repository is None else []))
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if repository is None else repository
-    found = df.select(F.col(key).alias("doc_id"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"), F.explode(candidates(F.col(text))).alias("candidate"))
+    plain = df.select(F.col(key).alias("doc_id"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"), F.col(text).alias("text"))
+    found = _flagged(plain, "text", "flag", only=True).select("doc_id", "owner", "repository", F.explode(candidates(F.col("text"))).alias("candidate"))
     found = found.withColumn("kind", _kind()).withColumn("value", _value())
     return found.groupBy("doc_id", "owner", "repository", "kind", "value").agg(F.count("*").alias("n")).withColumn("hash", _hash())
 
 
-def verdicts(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """(hash, documents, repositories, owners, verdict) of every distinct value of a table as ``findings`` gives it."""
-    counts = found.groupBy("hash").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
-    return counts.withColumn("verdict", F.when(F.col("owners") >= example_owners, "example").otherwise("live"))
+def _hashed(found: DataFrame) -> DataFrame:
+    """A table of ``findings``, written down without the values: what is used twice is found once."""
+    stands = F.lower("value").rlike(PLACEHOLDER) & F.col("kind").isin("assigned", "bearer")
+    return written(found.select("doc_id", "owner", "repository", "kind", "hash", "n", stands.alias("placeholder")))
+
+
+def verdicts(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """(hash, documents, repositories, owners, verdict) of every distinct value of a table as ``_hashed`` gives it."""
+    counts = found.groupBy("hash").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"), F.max("placeholder").alias("placeholder"))
+    copied = (F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= example_repositories)) | F.col("placeholder")
+    return counts.select("hash", "documents", "repositories", "owners", F.when(copied, "example").otherwise("live").alias("verdict"))
 
 
 def scan_secrets(df: DataFrame, example_owners: int = EXAMPLE_OWNERS, key: str = "doc_id", text: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """(doc_id, kind, hash, n, documents, repositories, owners, verdict): one row for each distinct value in a document.
 
-    The value itself is not returned. Null, empty and very long texts are scanned whole; nulls and empty texts find
+    The value itself is neither returned nor written. Null, empty and very long texts are scanned whole; nulls and empty texts find
     nothing. Null owners and repositories count as one named ''. A null key is reported but is no document of the count.
     Repeated rows add to n only. Ties need no rule: a value has one verdict everywhere. An empty table gives no rows.
     """
-    found = findings(df, key, text, owner, repository)
+    found = _hashed(findings(df, key, text, owner, repository))
     rows = found.groupBy("doc_id", "kind", "hash").agg(F.sum("n").alias("n"))
     return rows.join(verdicts(found, example_owners), "hash").select("doc_id", "kind", "hash", "n", "documents", "repositories", "owners", "verdict")
 
@@ -109,11 +145,12 @@ def redact_secrets(df: DataFrame, example_owners: int = EXAMPLE_OWNERS, key: str
     the verdicts; the others pass from the scan to the result. Nulls, empty tables and repeated rows: as in ``scan_secrets``;
     every row stays.
     """
-    found = findings(df, key, text)
-    live = verdicts(found, example_owners).where("verdict = 'live'").select("hash")
-    has = F.coalesce(F.col(text).rlike(FORM), F.lit(False))
+    live = verdicts(_hashed(findings(df, key, text)), example_owners).where("verdict = 'live'").select("hash")
+    flag = fresh(df, "_s_flag")
+    flagged = _flagged(df, text, flag)
+    has = F.when(F.col(flag), F.col(f"`{text}`").rlike(FORM)).otherwise(F.lit(False))
     row = fresh(df, "_s_row")
-    dirty = df.where(has).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)).withColumn("_s_id", F.monotonically_increasing_id())
+    dirty = flagged.where(has).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)).withColumn("_s_id", F.monotonically_increasing_id())
     held = dirty.select("*", F.explode(F.array_distinct(candidates(F.col(row)[text]))).alias("candidate")).withColumn("value", _value()).withColumn("hash", _hash())
     # A row's own spellings are masked, the longest first, as one may be a part of another.
     own = F.when(F.col("_s_live"), F.struct(F.length("value").alias("length"), "value"))
@@ -128,15 +165,16 @@ def redact_secrets(df: DataFrame, example_owners: int = EXAMPLE_OWNERS, key: str
         elif c == n_chars:
             old = F.when(F.col("_s_text") != F.col(row)[text], F.length("_s_text").cast(df.schema[c].dataType)).otherwise(old)
         columns.append(old.alias(c))
-    return df.where(~has).unionByName(out.select(*columns))
+    return flagged.where(~has).drop(flag).unionByName(out.select(*columns))
 
 
 _Q = PATTERN.replace("'", "''")
 SCAN_SQL = f"""WITH c AS (
   SELECT doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository, unnest(regexp_extract_all(text, '{_Q}', 1)) AS candidate FROM documents
-), f AS (
+), k AS (
   SELECT *, CASE {" ".join(f"WHEN regexp_matches(candidate, '^{KINDS[k].replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k in KINDS if k != "assigned")} ELSE 'assigned' END AS kind,
-    sha256(CASE WHEN regexp_matches(candidate, '^(AKIA|gh[pousr]_|xox|eyJ|-----)') THEN candidate ELSE regexp_replace(candidate, '{LEAD.replace(chr(39), chr(39) * 2)}', '') END) AS hash FROM c
-), v AS (SELECT hash, count(DISTINCT doc_id) AS documents, count(DISTINCT repository) AS repositories, count(DISTINCT owner) AS owners FROM f GROUP BY hash)
-SELECT doc_id, kind, hash, count(*) AS n, documents, repositories, owners, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' ELSE 'live' END AS verdict
+    CASE WHEN regexp_matches(candidate, '^(AKIA|gh[pousr]_|xox|eyJ|-----)') THEN candidate ELSE regexp_replace(candidate, '{LEAD.replace(chr(39), chr(39) * 2)}', '') END AS value FROM c
+), f AS (SELECT *, sha256(value) AS hash, kind = 'assigned' AND regexp_matches(lower(value), '{PLACEHOLDER}') AS placeholder FROM k),
+v AS (SELECT hash, count(DISTINCT doc_id) AS documents, count(DISTINCT repository) AS repositories, count(DISTINCT owner) AS owners, bool_or(placeholder) AS placeholder FROM f GROUP BY hash)
+SELECT doc_id, kind, hash, count(*) AS n, documents, repositories, owners, CASE WHEN owners >= {EXAMPLE_OWNERS} OR owners > 1 AND repositories >= {EXAMPLE_REPOSITORIES} OR v.placeholder THEN 'example' ELSE 'live' END AS verdict
 FROM f JOIN v USING (hash) GROUP BY ALL"""
