@@ -15,11 +15,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def _pieces(docs: DataFrame) -> DataFrame:
-    model = pieces.load()
-    return pieces.decode(pieces.encode(docs, model), model)
-
-
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -33,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_dedup": lambda s, d: simhash.groups(_docs(s, d)),
         "op4_mixing": lambda s, d: mixing.mix(_docs(s, d)),
         "op5_substring_dedup": lambda s, d: substrings.repeats(_docs(s, d)),
-        "op6_sentencepiece": lambda s, d: _pieces(_docs(s, d)),
+        "op6_sentencepiece": lambda s, d: pieces.encode(_docs(s, d), decoded=True),
         "op7_toxicity": lambda s, d: toxicity.find_toxic(_docs(s, d), read_table(s, d, "labels")),
         "op8_sharding": lambda s, d: sharding.shards(_docs(s, d)),
         "op9_media": lambda s, d: media.fingerprint_audio(media.sonify(_docs(s, d)), "doc_id", "wav"),

@@ -21,6 +21,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Score of a character written in bytes, less than the least score.
 PENALTY = 10.0
+#: Bytes of texts that are cut at a time: the more, the more parts are met again.
+SLICE = 1 << 20
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -305,10 +308,29 @@ def decode_ids(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return np.delete(data, head), cut - np.cumsum(drop)[cut]
 
 
-def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, token_ids, n_tokens) of every row of ``df``.
+def _encoded(model: Model, part: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """(lists of ids, numbers of ids, all ids, offsets of the rows in them) of a slice of texts."""
+    ids, offsets = encode_bytes(model, *text_bytes(part))
+    null = np.asarray(part.is_null())
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(null))
+    return lists, pa.array(np.diff(offsets).astype(np.int32), mask=null), ids, offsets
 
-    A null text gives null ids and count, an empty one no ids. Whole texts are encoded, in one part where they hold no
+
+def _decoded(model: Model, ids: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> pa.Array:
+    """The texts of rows of ids, null where ``null`` says so; bytes that are no UTF-8 become replacement characters."""
+    data, cut = decode_ids(model, ids, offsets)
+    raw = pa.Array.from_buffers(pa.binary(), len(null), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    try:
+        out = raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        out = pa.array([x.as_py().decode("utf-8", "replace") for x in raw])
+    return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), out) if null.any() else out
+
+
+def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, token_ids, n_tokens) of every row of ``df``, and with ``decoded`` the text that the ids decode to.
+
+    A null text gives null ids and count (and text), an empty one no ids. Whole texts are encoded, in one part where they hold no
     space. Null keys and repeated rows are encoded as any others; of cuts of equal score the one found first wins, the
     same on every run. Other columns are not returned. An empty table gives no rows.
     """
@@ -317,21 +339,23 @@ def encode(df: DataFrame, model: Model | None = None, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, part in text_slices(b.column(1)):
-                ids, offsets = encode_bytes(held.value, *text_bytes(part))
-                null = np.asarray(part.is_null())
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(null))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), lists, pa.array(np.diff(offsets).astype(np.int32), mask=null)], ["doc_id", "token_ids", "n_tokens"])
+            for lo, part in text_slices(b.column(1), SLICE):
+                lists, counts, ids, offsets = _encoded(held.value, part)
+                columns = [b.column(0).slice(lo, len(part)), lists, counts]
+                if decoded:
+                    columns.append(_decoded(held.value, ids, offsets, np.asarray(part.is_null())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "token_ids", "n_tokens", "decoded"][: len(columns)])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens int")
+    return df.select(key, text).mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens int" + ", decoded string" * decoded)
 
 
 def decode(df: DataFrame, model: Model | None = None, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``df`` with the decoded text of the column ``ids`` as a further column ``text``, which must be new.
 
     Null ids (or a null among them) give null, no ids an empty text. Control pieces and the unknown piece decode to
-    nothing; bytes that are no UTF-8 to replacement characters. An id beyond the vocabulary raises.
+    nothing; bytes that are no UTF-8 to replacement characters. An id beyond the vocabulary raises. Repeated rows and very
+    long lists are decoded as any others. An empty table gives an empty one; other columns pass through.
     """
     need(df, ids)
     if text.lower() in {c.lower() for c in df.columns}:
@@ -351,14 +375,6 @@ def decode(df: DataFrame, model: Model | None = None, ids: str = "token_ids", te
                 null |= np.asarray(lists.is_null())
                 n = np.where(null, 0, np.asarray(lists.value_lengths().fill_null(0)))
                 flat = lists.filter(pa.array(~null)).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, offsets = decode_ids(held.value, flat, np.r_[0, np.cumsum(n)])
-                raw = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-                try:
-                    out = raw.cast(pa.string())
-                except pa.ArrowInvalid:
-                    out = pa.array([x.as_py().decode("utf-8", "replace") for x in raw])
-                if null.any():
-                    out = pa.array(out.to_pylist(), pa.string(), mask=null)
-                yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, text])
+                yield pa.RecordBatch.from_arrays([*b.columns, _decoded(held.value, flat, np.r_[0, np.cumsum(n)], null)], [*b.schema.names, text])
 
     return df.mapInArrow(run, schema)
