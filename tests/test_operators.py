@@ -234,3 +234,14 @@ def test_traces_and_preference_facts(spark):
     assert recall.current_preference_facts(best, held, index, prefs).count() == 0
     (fact,) = recall.current_preference_facts(best, held, index, prefs, by_turn=True).collect()
     assert (fact.subject, fact.predicate, fact.object, fact.value) == ("mara", "likes", "tea", "likes tea as of 2026")
+
+
+def test_similar_forms_are_found_without_comparing_all():
+    r = random.Random(9)
+    forms = list({" ".join("".join(r.choices("abcdeß", k=r.randrange(1, 9))) for _ in range(r.randrange(1, 4))) for _ in range(300)}) + ["x" * 300, "x" * 299 + "y", "ab " * 200]
+    for threshold in (0.5, 0.85, 1.0):
+        listed = canonical.Listed(threshold)
+        for i, f in enumerate(forms):
+            want = {(x, j) for j, x in enumerate(forms[:i]) if text.token_set_ratio(f, x) >= 100 * threshold}
+            assert {(x, j) for _, x, j in listed.similar(f)} == want
+            listed.add(f, i)
