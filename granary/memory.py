@@ -82,7 +82,7 @@ class Memory:
             return
         numbered = ingest.number_memories(memories, F.lit(0) if bucket is None else bucket, order, old["manifest"]["memories"])
         numbered = numbered.select("memory_index", "memory_id", "turn_id", "content", "timestamp", "speaker", "source", "metadata")
-        parsed = written(ingest.parse_memories(numbered, self.config, self.parser))
+        parsed = ingest.parse_memories(numbered, self.config, self.parser)
         nodes, edges = ingest.ingest(parsed, self.config, store.known_forms(old["nodes"]), self._polarity() if self._classify else None)
         nodes, edges = graph.upsert_nodes(nodes, list(ingest.PAYLOADS)), graph.upsert_edges(edges)
         added = written(nodes)
@@ -90,7 +90,8 @@ class Memory:
         edges = written(graph.merge_edges(old["edges"], edges))
         fresh = added.join(old["vectors"].select(F.col("node_id").alias("id")), "id", "left_anti")
         vecs = old["vectors"].unionByName(ingest.embed_granules(fresh, self.embedder, self.config.dimension))
-        store.save(self.path, merged, edges, self.config, vecs, memories=old["manifest"]["memories"] + parsed.count(), batch=last if batch is None else batch)
+        last_index = merged.where("memory IS NOT NULL").agg(F.max("memory.memory_index")).first()[0] or 0
+        store.save(self.path, merged, edges, self.config, vecs, memories=last_index, batch=last if batch is None else batch)
         self._state = None
         self.timing["ingest_ms"] = _ms(began)
 
