@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import argparse
-import tempfile
 
 from pyspark.sql import SparkSession
 
 from granary.memory import Memory
 from granary.operators import trace
 from granary.sources import seeds
+from granary.sources.tables import scratch
 
 
 def main() -> None:
@@ -31,13 +31,12 @@ def main() -> None:
         row = Memory(spark, a.folder).trace(spark.createDataFrame([("question", a.question)], "query_id string, text string"), hint=a.hint).first()
         print(a.form(row))
         return
-    with tempfile.TemporaryDirectory(prefix="granary-smoke-") as folder:
-        m = Memory(spark, folder)
-        m.ingest(seeds.synthetic_memories(spark, a.memories), ["seq"])
-        result, passages, facts = m.ask("Does Ivo like jazz records?")
-        print(f"{result.intent} {result.recall_fingerprint}: {len(passages)} passages, {len(facts)} facts, {m.timing}")
-        for r in passages[:3]:
-            print(f"{r['rank']}. {r.score:.3f} {r.granularity}: {r.text}")
+    m = Memory(spark, scratch(spark, "smoke"))
+    m.ingest(seeds.synthetic_memories(spark, a.memories), ["seq"])
+    result, passages, facts = m.ask("Does Ivo like jazz records?")
+    print(f"{result.intent} {result.recall_fingerprint}: {len(passages)} passages, {len(facts)} facts, {m.timing}")
+    for r in passages[:3]:
+        print(f"{r['rank']}. {r.score:.3f} {r.granularity}: {r.text}")
 
 
 if __name__ == "__main__":
