@@ -1,33 +1,39 @@
-"""Near-duplicate groups by SimHash with deletion-variant signatures.
+"""Near-duplicate groups by SimHash, with an exact join of the signatures.
 
 A document's signature has 128 bits: the signs of the sums of its words' random bits, weighted by (times the word
-occurs) ^ 0.75. It is cut into SEGMENTS segments of 25 or 26 bits, so two signatures that differ in at most 9 bits have a segment
-that differs in at most one, and most of those that differ in up to MOST_BITS have one too (of all pairs that
-verification would accept, 98 % meet). Fewer and so longer segments make fewer chance meetings in a larger corpus, and
-miss more of the pairs that are far apart: with 4, those that differ in at most 7 bits meet for sure. Segments that are equal meet by an equality join; segments that differ in just one
-bit meet by their one-wildcard variants: a key a bit, under which the values with bit 0 join the values with bit 1. Each meeting
-is verified by the full signature (at most MOST_BITS) and by a second one in which each distinct word counts once (at
-most MOST_SET_BITS). Groups are the connected components of the verified pairs.
-
-Within a segment value, and between two neighbouring values, all members that are verified against one centre are joined
-to it alone; every other member is compared with all. That leaves out only pairs that are connected already, so the
-groups are exactly those of all pairs, while a thousand copies give a thousand pairs, not half a million.
+occurs) ^ 0.75. Two documents are near copies where their signatures differ in at most MOST_BITS bits, and their second ones, in
+which each distinct word counts once, in at most MOST_SET_BITS. Groups are the connected components of all such pairs.
+
+The signatures are dealt to blocks by hash, and each pair of blocks is joined by itself in numpy. A signature is cut into
+SEGMENTS segments, each with a radius; the radii are such that signatures that differ by more than the radius in every segment differ
+in more than MOST_BITS bits. So those of one block are looked up in a table of the other's segment values, with each choice
+of at most so many bits turned over, and all that meet are verified: none is missed. Where there are more such choices than
+signatures, each is compared with all.
+
+Of what a pair of blocks links only a star a group is passed on, and values whose holders are in the group of who
+looks them up are skipped, so a thousand copies give a thousand links, not half a million.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, cut_lineage, fresh, mix64, need, text_slices, words
 
-SEGMENTS = 5
+SEGMENTS = 6
 MOST_BITS, MOST_SET_BITS = 16, 30
 POWER = 0.75
+#: A block has about so many signatures at most, and where there are few signatures, so many blocks keep the cores busy.
+BLOCK, FEW_BLOCKS = 1 << 18, 8
+#: A table of segment values has at most 2 ^ TABLE_BITS places; so many pairs are verified at once.
+TABLE_BITS, PAIRS = 22, 1 << 18
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -70,64 +76,137 @@ def sign(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key), F.xxhash64(text).alias("h"), F.col(text)).mapInArrow(run, f"id {kind}, h bigint, a bigint, b bigint, c bigint, d bigint")
 
 
-def _apart(x: str, y: str, names: str) -> Column:
-    total = F.lit(0)
-    for n in names:
-        total = total + F.bit_count(F.col(f"{x}.{n}").bitwiseXOR(F.col(f"{y}.{n}")))
-    return total
+def cuts(segments: int = SEGMENTS) -> list[int]:
+    """Where ``segments`` segments of like size begin and end in the 128 bits."""
+    if not 3 <= segments <= 16:
+        raise ValueError("there must be 3 to 16 segments")
+    return [0, *np.cumsum([128 // segments + (i < 128 % segments) for i in range(segments)]).tolist()]
 
 
-def _near(x: str, y: str) -> Column:
-    return (_apart(x, y, "ab") <= MOST_BITS) & (_apart(x, y, "cd") <= MOST_SET_BITS)
+def radii(segments: int = SEGMENTS) -> list[int]:
+    """In how many bits values of each segment may differ to meet; the numbers beyond them sum to more than MOST_BITS."""
+    total = MOST_BITS - segments + 1
+    return [total // segments + (i < total % segments) for i in range(segments)]
 
 
-def _segment(lo: int, hi: int) -> str:
-    """SQL for bits lo to hi (without it) of the 128 bits of (a, b), the highest of a being bit 0."""
-    mask = (1 << (hi - lo)) - 1
+def _values(s: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Bits lo to hi (without it) of the 128 bits of (a, b), the first two rows of ``s``, the highest of a being bit 0."""
+    mask = U64((1 << (hi - lo)) - 1)
     if hi <= 64 or lo >= 64:
-        return f"shiftrightunsigned({'a' if hi <= 64 else 'b'}, {-hi % 64}) & {mask}L"
-    return f"(shiftleft(a, {hi - 64}) | shiftrightunsigned(b, {128 - hi})) & {mask}L"
+        return (s[0 if hi <= 64 else 1] >> U64(-hi % 64)) & mask
+    return ((s[0] << U64(hi - 64)) | (s[1] >> U64(128 - hi))) & mask
 
 
-def cuts(segments: int = SEGMENTS) -> list[int]:
-    """Where ``segments`` segments of like size begin and end in the 128 bits."""
-    if not 3 <= segments <= 16:
-        raise ValueError("there must be 3 to 16 segments")
-    return [0, *np.cumsum([128 // segments + (i < 128 % segments) for i in range(segments)]).tolist()]
+def _near(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) of columns of ``s`` that are near copies."""
+    for rows, most in (((0, 1), MOST_BITS), ((2, 3), MOST_SET_BITS)):
+        keep = np.flatnonzero(sum(np.bitwise_count(s[r][i] ^ s[r][j]) for r in rows) <= most)
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give the groups of each pair (i, j) one label: the lowest place in the group."""
+    while True:
+        p, q = label[i], label[j]
+        apart = np.flatnonzero(p != q)
+        if not len(apart):
+            return
+        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label[:] = up
+
+
+def link(s: np.ndarray, n: int, segments: int = SEGMENTS) -> np.ndarray:
+    """For each column of ``s`` (rows a, b, c, d) the lowest one that it is linked to by near copies among the first ``n`` and the others, or, where there are no others, among all."""
+    whole = s.shape[1]
+    label, first = np.arange(whole), 0 if n == whole else n
+    at, most = cuts(segments), radii(segments)
+    if sum(comb(hi - lo, k) for lo, hi, r in zip(at, at[1:], most) for k in range(r + 1)) >= whole - first:
+        other = np.arange(first, whole)
+        for i in range(n):
+            _merge(label, *_near(s, np.full(len(other), i), other))
+        return label
+    for lo, hi, radius in zip(at, at[1:], most):
+        bits = min(hi - lo, TABLE_BITS, (whole - first).bit_length() + 6)
+        fold = lambda v: (v ^ (v >> U64(bits)) ^ (v >> U64(2 * bits)) ^ (v >> U64(3 * bits))) & U64((1 << bits) - 1)  # noqa: E731 B023
+        v = fold(_values(s, lo, hi)).astype(np.int64)
+        # All of a value are held against one of them first.
+        order = np.argsort(v, kind="stable")
+        new = np.flatnonzero(np.diff(v[order], prepend=-1))
+        _merge(label, *_near(s, np.repeat(order[new], np.diff(new, append=whole)), order))
+        # The table: place of each value of the others, and from where to where in ``order`` its holders are.
+        order = first + np.argsort(v[first:], kind="stable")
+        start = np.flatnonzero(np.diff(v[order], prepend=-1))
+        size = np.diff(start, append=len(order))
+        place = np.full(1 << bits, -1, np.int32)
+        place[v[order[start]]] = np.arange(len(start))
+        groups = _one_group(label, order, start)
+        mine, held, pending = v[:n], [], 0
+        for turned in (c for k in range(radius + 1) for c in combinations(range(hi - lo), k)):
+            p = place[mine ^ int(fold(U64(sum(1 << b for b in turned))))]
+            i = np.flatnonzero(p >= 0)
+            p = p[i]
+            keep = np.flatnonzero(groups[p] != label[i])
+            i, p = i[keep], p[keep]
+            held.append((i, p))
+            pending += int(size[p].sum())
+            if pending >= PAIRS:
+                _verify(s, label, held, order, start, size)
+                groups, held, pending = _one_group(label, order, start), [], 0
+        _verify(s, label, held, order, start, size)
+    return label
+
+
+def _one_group(label: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The label of all holders of each value, or -1 where they have several."""
+    low, high = (f.reduceat(label[order], start) for f in (np.minimum, np.maximum))
+    return np.where(low == high, low, -1)
+
+
+def _verify(s: np.ndarray, label: np.ndarray, held: list, order: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    """Merge the groups of those columns i and holders of the values p that are near copies, for all (i, p) in ``held``."""
+    if not held:
+        return
+    i, p = (np.concatenate(x) for x in zip(*held))
+    ends = np.cumsum(size[p])
+    lo = 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS)))
+        n = size[p[lo:hi]]
+        j = order[np.repeat(start[p[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        k = np.repeat(i[lo:hi], n)
+        keep = np.flatnonzero(label[k] != label[j])
+        _merge(label, *_near(s, k[keep], j[keep]))
+        lo = hi
 
 
 def near_pairs(signed: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """(x, y): verified pairs (id) that connect the near-duplicate groups among rows (id, a, b, c, d) with distinct signatures."""
-    me, at = F.struct("id", "a", "b", "c", "d").alias("m"), cuts(segments)
-    width = at[1]
-    parts = [F.struct(F.lit(i).cast("long").alias("s"), F.expr(_segment(lo, hi)).alias("v")) for i, (lo, hi) in enumerate(zip(at, at[1:]))]
-    placed = signed.select(me, F.explode(F.array(*parts)).alias("p")).select((F.col("p.s") * (1 << width) + F.col("p.v")).alias("seg"), "m")
-    centres = placed.groupBy("seg").agg(F.min("m").alias("c"), F.count("*").alias("members"))
-    crowded = centres.where("members > 1").select("seg", "c")
-    met = placed.join(crowded, "seg").withColumn("ok", _near("m", "c"))
-    edges = [met.where("ok AND m.id <> c.id").select(F.col("m.id").alias("x"), F.col("c.id").alias("y"))]
-    rest = met.where("NOT ok").select("seg", "m")
-    others = placed.select("seg", F.col("m").alias("o"))
-    edges.append(rest.join(others, "seg").where(F.col("m.id") != F.col("o.id")).where(_near("m", "o")).select(F.col("m.id").alias("x"), F.col("o.id").alias("y")))
-    # Neighbours: distinct segment values that differ in exactly one bit.
-    values = centres.select("seg")
-    variants = values.select("seg", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i")).withColumn("bit", F.expr("shiftleft(1L, i)"))
-    variants = variants.select((F.col("seg").bitwiseAND(F.bitwise_not("bit")) * 64 + F.col("i")).alias("variant"), F.col("seg").bitwiseAND(F.col("bit")).alias("bit"))
-    zero, one = variants.where("bit = 0").select("variant"), variants.where("bit <> 0").select("variant", "bit")
-    touching = zero.join(one, "variant").select(F.expr("shiftright(variant, 6)").alias("lo"), F.expr("shiftright(variant, 6) | bit").alias("hi"))
-    touching = touching.join(centres.select(F.col("seg").alias("lo"), F.col("c").alias("lc")), "lo").join(centres.select(F.col("seg").alias("hi"), F.col("c").alias("hc")), "hi")
-    touching = cut_lineage(touching.withColumn("ok", _near("lc", "hc")).select("lo", "hi", F.col("lc.id").alias("x"), F.col("hc.id").alias("y"), "ok"))
-    edges.append(touching.where("ok").select("x", "y"))
-    low, high = placed.select(F.col("seg").alias("lo"), F.col("m").alias("o")), placed.select(F.col("seg").alias("hi"), "m")
-    full = touching.where("NOT ok").select("lo", "hi")
-    edges.append(full.join(low, "lo").join(high, "hi").where(_near("m", "o")).select(F.col("m.id").alias("x"), F.col("o.id").alias("y")))
-    both = touching.where("ok").select(F.col("lo").alias("p"), F.col("hi").alias("q"))
-    both = both.unionByName(both.select(F.col("q").alias("p"), F.col("p").alias("q")))
-    loose = both.join(rest.select(F.col("seg").alias("p"), "m"), "p").join(others.withColumnRenamed("seg", "q"), "q")
-    edges.append(loose.where(_near("m", "o")).select(F.col("m.id").alias("x"), F.col("o.id").alias("y")))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
+    """(x, y): links (id) that connect the near-duplicate groups among rows (id, a, b, c, d) with distinct signatures: all that near copies connect, and no more.
+
+    ``segments`` says how near copies are looked for, not which are found.
+    """
+    cuts(segments)
+    rows = signed.count()
+    blocks = max(1, -(-rows // BLOCK), min(FEW_BLOCKS, -(-rows // (BLOCK >> 6))))
+    mine, other = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    placed = signed.select("id", "a", "b", "c", "d", mine.cast("int").alias("mine"), other.alias("other"))
+    task = (F.least("mine", "other") * blocks + F.greatest("mine", "other")).alias("task")
+    placed = placed.select(task, (F.col("mine") > F.col("other")).alias("second"), "id", "a", "b", "c", "d").repartition(blocks * (blocks + 1) // 2, "task")
+
+    def run(table: pa.Table) -> pa.Table:
+        second = table["second"].to_numpy()
+        order = np.argsort(second, kind="stable")
+        s = np.stack([table[x].to_numpy().view(np.uint64)[order] for x in "abcd"])
+        # Where one of two blocks is empty, there is nothing to link.
+        n, pair = int(len(second) - second.sum()), int(table["task"][0].as_py())
+        label = link(s, n, segments) if n and (n < len(second) or pair // blocks == pair % blocks) else np.arange(len(second))
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"x": table["id"].take(pa.array(order[linked])), "y": table["id"].take(pa.array(order[label[linked]]))})
+
+    kind = signed.schema["id"].dataType.simpleString()
+    out = placed.groupBy("task").applyInArrow(run, f"x {kind}, y {kind}")
     return out.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x < y").distinct()
 
 

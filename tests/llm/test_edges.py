@@ -62,6 +62,43 @@ def test_any_number_of_segments_finds_close_copies(spark, segments):
     assert {(r.doc_id, r.group_id) for r in simhash.groups(df, segments=segments).collect()} == {(k + d, k) for k in range(6) for d in (0, 10)}
 
 
+@pytest.mark.parametrize("rows,segments", [(60, 6), (5000, 6), (5000, 5)])
+def test_signatures_as_far_apart_as_allowed_are_linked(spark, rows, segments):
+    r = np.random.default_rng(0)
+    bits = r.integers(0, 2, (rows, 256), np.uint8)
+    for k in range(0, rows, 4):
+        # Two that differ in the most bits allowed, those of the first signature spread evenly; one by a bit more in either signature.
+        bits[k + 1 : k + 4] = bits[k]
+        for row, first, second in ((k + 1, 16, 30), (k + 2, 17, 30), (k + 3, 16, 31)):
+            bits[row, (np.arange(first) * 128 // first + k) % 128] ^= 1
+            bits[row, 128 + r.permutation(128)[:second]] ^= 1
+    s = np.packbits(bits, axis=1).view(np.int64)
+    signed = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(s)], "id bigint, a bigint, b bigint, c bigint, d bigint")
+    root = list(range(rows))
+    for i in range(rows):
+        far = np.bitwise_count(s[i + 1 :].view(np.uint64) ^ s[i].view(np.uint64))
+        for j in np.flatnonzero((far[:, :2].sum(1) <= 16) & (far[:, 2:].sum(1) <= 30)) + i + 1:
+            old, new = sorted((root[i], root[j]), reverse=True)
+            root = [new if x == old else x for x in root]
+    sizes = Counter(root)
+    want = {(i, x) for i, x in enumerate(root) if sizes[x] > 1}
+    assert len(want) >= rows // 2
+    assert {(x.id, x.root) for x in simhash.components(simhash.near_pairs(signed, segments)).collect()} == want
+
+
+def test_many_near_copies_give_few_links(spark):
+    # 3,000 signatures around one: all are linked, and by stars.
+    r = np.random.default_rng(0)
+    bits = np.repeat(r.integers(0, 2, (1, 256), np.uint8), 3000, axis=0)
+    for row in bits:
+        row[r.integers(0, 128, 4)] ^= 1
+    s = np.unique(np.packbits(bits, axis=1).view(np.int64), axis=0)
+    signed = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(s)], "id bigint, a bigint, b bigint, c bigint, d bigint")
+    links = simhash.near_pairs(signed)
+    assert links.count() <= simhash.FEW_BLOCKS * len(s)
+    assert {x.root for x in simhash.components(links).collect()} == {0}
+
+
 def test_keys_over_all_64_bits_are_sharded(spark):
     rows = [(-(2**63), "a", "s"), (2**63 - 1, "bb", "s"), (0, "ccc", "s"), (None, "dddd", "s")]
     got = {r.doc_id: r for r in sharding.shards(some(spark, rows), 4).collect()}
