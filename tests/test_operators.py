@@ -135,6 +135,34 @@ def test_knn_blocks_nulls_and_zeros(spark, monkeypatch):
     assert one(spark, vectors.unit(F.array(F.lit(0.0)))) == [0.0]
 
 
+def test_knn_meets_in_parts_and_compares_equal_vectors_once(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    some = r.normal(size=(9, 3))
+    v = [some[i % 9] if i % 3 else r.normal(size=3) for i in range(120)]
+    rows = [(i, x.tolist(), "ab"[i % 2]) for i, x in enumerate(v)] + [(5, v[8].tolist(), "a"), (5, v[5].tolist(), "b"), (7, [float("nan")] * 3, "a"), (8, [1.0, 2.0, 3.0], None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vec array<float>, label string")
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(vectors, "PART", 3 * 16)
+
+    def want(query, group, k, own):
+        x = np.array(query[1]) / np.linalg.norm(query[1])
+        s = [(-round(float(x @ np.array(y) / np.linalg.norm(y)), 6), i) for i, y, g in rows if not np.isnan(y[0]) and (group is None or g == group) and (own or i != query[0])]
+        return sorted(s)[:k]
+
+    once = df.where("vec_id NOT IN (5, 7, 8)")
+    asked = [x for x in rows if x[0] not in (5, 7, 8)]
+    for own in (False, True):
+        got, by = {}, {}
+        for x in vectors.knn(df, once, 4, keep_self=own).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append((-round(x.score, 6), x.id))
+        for x in vectors.knn(df, once.drop("label"), 4, same="label", keep_self=own).orderBy("query_id", "rank").collect():
+            by.setdefault((x.query_id, x.label), []).append((-round(x.score, 6), x.id))
+        for q in asked:
+            assert [i for _, i in got[q[0]]] == [i for _, i in want(q, None, 4, own)]
+            for g in "ab":
+                assert [i for _, i in by[q[0], g]] == [i for _, i in want(q, g, 4, own)]
+
+
 def test_graph_tables(spark):
     n = spark.createDataFrame([("a", ["x"], ["l"], 1, 1), ("a", ["y"], None, None, 2), ("b", ["x"], [], 5, 3)], "id string, labels array<string>, layers array<string>, p int, seq int")
     nodes = graph.upsert_nodes(n, ["p"])
