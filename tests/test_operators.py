@@ -163,6 +163,46 @@ def test_knn_meets_in_parts_and_compares_equal_vectors_once(spark, monkeypatch):
                 assert [i for _, i in by[q[0], g]] == [i for _, i in want(q, g, 4, own)]
 
 
+def test_hubs_give_a_layer_no_more_than_it_can_keep(spark):
+    r = random.Random(3)
+    edges = [("hub", f"n{r.randrange(400):03}", r.choice("tu"), r.choice([0.25, 0.5, 0.5, 0.5 + 1e-16, 0.1 + r.random() / 9])) for _ in range(900)] + [(f"n{i:03}", "hub", "t", 0.5) for i in range(0, 400, 7)]
+    weights, cap = {"t": 0.9, "u": 0.3}, 12
+    e = spark.createDataFrame(edges, "src string, dst string, type string, weight double")
+    few, many = traverse._bounded(e.withColumnRenamed("weight", "_w"), cap)
+    assert few.where("src = 'hub'").isEmpty() and few.count() == len(range(0, 400, 7))
+    assert many.count() < 12 * cap
+    for q, at in ((1, {"hub": 1.0}), (2, {"hub": 0.3, "n007": 0.7})):
+        start, got = list(at.items()), traverse.layers(spark.createDataFrame([(q, k, v) for k, v in at.items()], "query_id int, id string, score double"), e, weights, 3, cap)
+        for layer in got[1:]:
+            step = {}
+            for src, dst, kind, w in edges:
+                if src in at:
+                    step[dst] = max(step.get(dst, 0), at[src] * w * weights[kind])
+            at = dict(sorted(step.items(), key=lambda x: (-x[1], x[0]))[:cap])
+            assert {x.id: x.score for x in layer.collect()} == at, start
+
+
+def test_seeds_and_pairs_of_entities_that_many_share(spark):
+    r = random.Random(4)
+    e = spark.createDataFrame([(f"t{i:03}", f"e{j}", "mentions") for i in range(90) for j in r.sample(range(9), 4)], "src string, dst string, type string")
+    names = [("q1", "e0"), ("q1", "e1"), ("q2", "e3"), *[("q3", f"e{j}") for j in range(9)]]
+    named = spark.createDataFrame(names, "query_id string, id string")
+    assert recall.entity_seeds(named, e, 8).where("query_id = 'q2' AND score < 1").count() == 8
+    few, all_ = (traverse.merge_seeds(recall.entity_seeds(named, e, n), cap=8).collect() for n in (8, 0))
+    assert sorted(few) == sorted(all_)
+    pairs = [(a, b, r.randrange(1, 4)) for a in range(60) for b in range(a + 1, 60)]
+    own = [(1, 0), (1, 1), (2, 59), *[(3, j) for j in range(20, 60)]]
+    mine = {}
+    for q, i in own:
+        rows = [(-n, a, b) for a, b, n in pairs if a == i or (b == i and (q, a) not in own)]
+        mine[q, str(i)] = [str(b if a == i else a) for _, a, b in sorted(rows)[:5]]
+    labels = spark.range(60).select(F.col("id").alias("id"), F.col("id").cast("string").alias("text"))
+    got = {}
+    for x in recall.co_occurrence_facts(spark.createDataFrame(own, "query_id int, id bigint"), spark.createDataFrame(pairs, "entity_a bigint, entity_b bigint, count bigint"), labels).collect():
+        got.setdefault((x.query_id, x.subject), []).append(x.object)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in mine.items() if v}
+
+
 def test_graph_tables(spark):
     n = spark.createDataFrame([("a", ["x"], ["l"], 1, 1), ("a", ["y"], None, None, 2), ("b", ["x"], [], 5, 3)], "id string, labels array<string>, layers array<string>, p int, seq int")
     nodes = graph.upsert_nodes(n, ["p"])
