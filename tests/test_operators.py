@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import json
 import random
 
@@ -313,3 +314,14 @@ def test_similar_forms_are_found_without_comparing_all():
             want = {(x, j) for j, x in enumerate(forms[:i]) if text.token_set_ratio(f, x) >= 100 * threshold}
             assert {(x, j) for _, x, j in listed.similar(f)} == want
             listed.add(f, i)
+
+
+def test_short_forms_are_looked_up(monkeypatch):
+    compared = []
+    ratio = text.token_set_ratio
+    monkeypatch.setattr(canonical, "token_set_ratio", lambda a, b: compared.append(1) or ratio(a, b))
+    listed, forms = canonical.Listed(0.85), ["".join(x) for x in itertools.permutations("abcdefg")][::5]
+    for i, f in enumerate(forms):
+        listed.similar(f)
+        listed.add(f, i)
+    assert len(compared) < 25 * len(forms)
