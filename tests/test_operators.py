@@ -325,3 +325,15 @@ def test_short_forms_are_looked_up(monkeypatch):
         listed.similar(f)
         listed.add(f, i)
     assert len(compared) < 25 * len(forms)
+
+
+def test_gaps_are_settled_by_few_nodes_or_by_all(spark, monkeypatch):
+    monkeypatch.setattr(diagnostics, "FEW", 1)
+    r = random.Random(2)
+    hits = [(case, r.randrange(30)) for case in range(40) for _ in range(r.randrange(1, 9))]
+    edges = [(r.randrange(30), r.randrange(30)) for _ in range(25)]
+    edges = [(a, b) for a, b in edges if a != b]
+    got = diagnostics.graph_gaps(spark.createDataFrame(hits, "case_id int, id int"), spark.createDataFrame(edges, "src int, dst int"))
+    of = {case: {i for c, i in hits if c == case} for case, _ in hits}
+    want = {(case, len(ids_), len(ids_) >= 2 and not any(a in ids_ and b in ids_ for a, b in edges)) for case, ids_ in of.items()}
+    assert {tuple(x) for x in got.collect()} == want and len({gap for _, _, gap in want}) == 2
