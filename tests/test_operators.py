@@ -337,3 +337,12 @@ def test_gaps_are_settled_by_few_nodes_or_by_all(spark, monkeypatch):
     of = {case: {i for c, i in hits if c == case} for case, _ in hits}
     want = {(case, len(ids_), len(ids_) >= 2 and not any(a in ids_ and b in ids_ for a, b in edges)) for case, ids_ in of.items()}
     assert {tuple(x) for x in got.collect()} == want and len({gap for _, _, gap in want}) == 2
+
+
+def test_kinds_of_nodes_change_nothing_but_what_is_read(spark):
+    edges = [("o:1", "c:1", "t", 0.5), ("o:1", None, "t", 0.5), ("c:1", "n:1", "t", 0.5), ("n:1", "o:1", "t", 0.5), ("s:1", "n:1", "t", 0.5)]
+    e = spark.createDataFrame(edges, "src string, dst string, type string, weight double")
+    start = spark.createDataFrame([(1, "o:1", 1.0), (2, "x", 1.0)], "query_id int, id string, score double")
+    walk = traverse.layers(start, e, {"t": 1.0}, 3, 4)
+    assert {tuple(x) for x in traverse.best_of(walk).collect()} == {(1, "o:1", 1.0), (2, "x", 1.0), (1, "c:1", 0.5), (1, None, 0.5), (1, "n:1", 0.25)}
+    assert traverse.kinds_of(e, "dst") == {"c:", "n:", "o:", ""}
